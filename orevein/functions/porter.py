@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The suffix rules of the paper.
 STEP2 = {
@@ -81,6 +82,6 @@ def stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_udf(words: pd.Series) -> pd.Series:
     return words.map(stem, na_action="ignore")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Query parameters that the normal form drops (and all that start with utm_).
 DROPPED_PARAMS = ("ref", "fbclid", "geo_filter", "cId", "iId")
@@ -67,7 +68,7 @@ def _resolve(base: str | None, relative: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve(base: pd.Series, relative: pd.Series) -> pd.Series:
     """``relative`` read against ``base``; null where either is malformed or the scheme has no fetcher."""
     return pd.Series([_resolve(b, r) for b, r in zip(base, relative, strict=True)], dtype=object)
