@@ -26,7 +26,7 @@ def parse_robots(files: DataFrame, agent: str = AGENT) -> DataFrame:
     The latest user-agent line decides; comments at the end of a line belong to the rule. A fold over the lines keeps the order.
     """
     agent = agent.lower()
-    lines = F.filter(F.transform(F.split("body", r"\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split("body", r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     field = lambda x: F.lower(F.trim(F.substring_index(x, ":", 1)))
     value = lambda x: F.trim(F.regexp_replace(x, r"^[^:]*:", ""))
     empty = F.array().cast("array<struct<kind:string,rule:string>>")

@@ -49,7 +49,3 @@ def content_hash(text: Column) -> Column:
     code = F.base64(F.unhex(F.sha2(text, 256)))
     return F.regexp_replace(F.translate(code, "+/", "-_"), "=+$", "")
 
-
-def line_key(line: Column) -> Column:
-    """What two lines must agree in to be the same: lower case, white space trimmed and collapsed, digit runs taken as equal."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), r"[\s  -  　]+", " ")), r"\d+", "0")
