@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import mojibake, sitelines
+from . import mojibake, residue, sitelines, spam
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
@@ -16,6 +16,14 @@ def p5_restored(spark: SparkSession, base: str) -> DataFrame:
     return mojibake.garbled(load(spark, base, "documents"))
 
 
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return spam.list_pages(load(spark, base, "documents")).select("doc_id").distinct()
+
+
+def p6_list_pages(spark: SparkSession, base: str) -> DataFrame:
+    return spam.list_pages(load(spark, base, "documents"))
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return sitelines.boilerplate_lines(load(spark, base, "documents")).select("doc_id", "line_no").distinct()
 
@@ -31,7 +39,20 @@ def p7_blocks(spark: SparkSession, base: str) -> DataFrame:
     return lines.groupBy("block").agg({"doc_id": "count"}).withColumnRenamed("count(doc_id)", "n_lines")
 
 
-QUERIES = {"p5_found": p5_found, "p5_restored": p5_restored, "p7_found": p7_found, "p7_cleaned": p7_cleaned, "p7_blocks": p7_blocks}
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return residue.residue(load(spark, base, "documents")).select("doc_id").distinct()
+
+
+def p10_kinds(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with residue, by source and kind of evidence."""
+    documents = load(spark, base, "documents")
+    return residue.residue(documents).join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "kind").count().withColumnRenamed("count", "n_documents")
+
+
+QUERIES = {
+    query.__name__: query
+    for query in (p5_found, p5_restored, p6_found, p6_list_pages, p7_found, p7_cleaned, p7_blocks, p10_found, p10_kinds)
+}
 
 _SPACE = r"[\t\r\x0b\f\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _LINES = rf"""
