@@ -336,7 +336,9 @@ class Page:
         for i in range(n):
             up = self.parent[i]
             state[i] = state[up] if up >= 0 and state[up] else choice[i]
-        return ((state == 1) | ((state == 0) & (own > 0))) & (self.own > 0)
+        main = ((state == 1) | ((state == 0) & (own > 0))) & (self.own > 0)
+        # a bare page, such as an error message, has no heading that the rest could be placed by
+        return main if main.any() else (self.own > 0) & (self.again == 0) & (self.links < 0.4 * np.maximum(self.chars, 1))
 
 
 def train(rows) -> Boosted:

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import mojibake, residue, sitelines, spam
+from . import maintext, mojibake, residue, sitelines, spam
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return maintext.main_lines(load(spark, base, "pages"), load(spark, base, "documents")).distinct()
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
@@ -51,7 +55,7 @@ def p10_kinds(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (p5_found, p5_restored, p6_found, p6_list_pages, p7_found, p7_cleaned, p7_blocks, p10_found, p10_kinds)
+    for query in (p2_found, p5_found, p5_restored, p6_found, p6_list_pages, p7_found, p7_cleaned, p7_blocks, p10_found, p10_kinds)
 }
 
 _SPACE = r"[\t\r\x0b\f\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"

@@ -27,6 +27,8 @@ PROSE, LINK, TAG, MENU = range(4)
 #: Documents the model is trained on; the bound of the sample.
 SAMPLE_DOCUMENTS = 3000
 TRAINING_ROUNDS = 3
+#: Fewer link and tag words than this make no list page.
+MIN_LIST_WORDS = 8
 #: A page is flagged above this share of link and tag words.
 MIN_SHARE = 0.4
 # Function words of the languages this was made for, those that most sentences hold one of.
@@ -173,8 +175,9 @@ def list_share(model: LineModel, lines: list[str]) -> tuple[float, int]:
 
 def line_model(lines: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> LineModel:
     """Trained on the ``sample`` documents whose ids hash lowest: the one place where a bounded sample is taken."""
-    chosen = lines.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return LineModel.train([list(r["lines"]) for r in chosen.select("lines").collect() if r["lines"]])
+    chosen = lines.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = lines.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lines").limit(2 * sample).collect()
+    return LineModel.train([list(r["lines"]) for r in sorted(rows, key=lambda r: r["doc_id"] or 0) if r["lines"]])
 
 
 def list_pages(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -190,6 +193,6 @@ def list_pages(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS, min_share:
         for frame in frames:
             rows = [list_share(model, list(x)) if x is not None else (0.0, 0) for x in frame["lines"]]
             out = pd.DataFrame({"doc_id": frame["doc_id"], "share": [r[0] for r in rows], "n_words": [r[1] for r in rows]})
-            yield out[out["share"] > min_share]
+            yield out[(out["share"] > min_share) & (out["share"] * out["n_words"] >= MIN_LIST_WORDS - 0.5)]
 
     return lines.mapInPandas(batches, "doc_id long, share double, n_words long")
