@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import maintext, mojibake, residue, sitelines, spam
+from . import leaks, maintext, mojibake, residue, sitelines, spam
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
@@ -43,6 +43,14 @@ def p7_blocks(spark: SparkSession, base: str) -> DataFrame:
     return lines.groupBy("block").agg({"doc_id": "count"}).withColumnRenamed("count(doc_id)", "n_lines")
 
 
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return leaks.leaks(load(spark, base, "documents"), load(spark, base, "benchmark")).select("doc_id", "item_id").distinct()
+
+
+def p9_leaked_items(spark: SparkSession, base: str) -> DataFrame:
+    return leaks.leaked_items(leaks.leaks(load(spark, base, "documents"), load(spark, base, "benchmark")))
+
+
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return residue.residue(load(spark, base, "documents")).select("doc_id").distinct()
 
@@ -55,7 +63,7 @@ def p10_kinds(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (p2_found, p5_found, p5_restored, p6_found, p6_list_pages, p7_found, p7_cleaned, p7_blocks, p10_found, p10_kinds)
+    for query in (p2_found, p5_found, p5_restored, p6_found, p6_list_pages, p7_found, p7_cleaned, p7_blocks, p9_found, p9_leaked_items, p10_found, p10_kinds)
 }
 
 _SPACE = r"[\t\r\x0b\f\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
