@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut
 from ..sources.tables import load
-from . import leaks, maintext, mojibake, residue, sitelines, spam
+from . import fusion, leaks, maintext, mojibake, packing, residue, sitelines, spam
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return maintext.main_lines(load(spark, base, "pages"), load(spark, base, "documents")).distinct()
 
 
+def p4_ranking(spark: SparkSession, base: str) -> DataFrame:
+    """One ranking of documents per row of queries."""
+    return fusion.search_ranking(*(load(spark, base, t) for t in ("queries", "words", "document_words", "documents", "labels")))
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return mojibake.garbled(load(spark, base, "documents")).select("doc_id", "field").distinct()
 
@@ -43,6 +49,16 @@ def p7_blocks(spark: SparkSession, base: str) -> DataFrame:
     return lines.groupBy("block").agg({"doc_id": "count"}).withColumnRenamed("count(doc_id)", "n_lines")
 
 
+def p8_packed(spark: SparkSession, base: str) -> DataFrame:
+    """Container of every document (of every piece of those longer than the capacity), for each kind of container."""
+    counts = cut(packing.token_counts(load(spark, base, "documents")), "tokens")
+    return packing.pack_documents(counts, load(spark, base, "containers"))
+
+
+def p8_fill(spark: SparkSession, base: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, base), load(spark, base, "containers"))
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return leaks.leaks(load(spark, base, "documents"), load(spark, base, "benchmark")).select("doc_id", "item_id").distinct()
 
@@ -63,7 +79,7 @@ def p10_kinds(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (p2_found, p5_found, p5_restored, p6_found, p6_list_pages, p7_found, p7_cleaned, p7_blocks, p9_found, p9_leaked_items, p10_found, p10_kinds)
+    for query in (p2_found, p4_ranking, p5_found, p5_restored, p6_found, p6_list_pages, p7_found, p7_cleaned, p7_blocks, p8_packed, p8_fill, p9_found, p9_leaked_items, p10_found, p10_kinds)
 }
 
 _SPACE = r"[\t\r\x0b\f\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -79,6 +95,29 @@ kept AS (
 """
 
 ORACLE = {
+    "p4_ranking": """
+WITH terms AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(query_text), '\\W+')) AS word FROM queries),
+wanted AS (SELECT query_id, word_id, idf FROM terms JOIN words USING (word)),
+hits AS (
+  SELECT document_id, word_id, word_position, min(CASE WHEN trim(coalesce(section, '')) = '' THEN 'body' ELSE lower(trim(section)) END) AS section
+  FROM document_words WHERE word_id IN (SELECT word_id FROM wanted) GROUP BY 1, 2, 3),
+per_word AS (
+  SELECT document_id, word_id, sum(CASE section WHEN 'title' THEN 2.0 WHEN 'header' THEN 1.5 ELSE 1.0 END::DOUBLE) AS weight FROM hits GROUP BY 1, 2),
+df AS (SELECT word_id, count(*) AS df FROM per_word GROUP BY 1),
+weighted AS (
+  SELECT query_id, word_id, CASE WHEN idf > 0 THEN idf ELSE ln((SELECT count(*) FROM documents) / df + 1) END AS idf FROM wanted JOIN df USING (word_id)),
+text AS (
+  SELECT query_id, doc_id, round(total / document_size, 9) AS value FROM (
+    SELECT query_id, document_id AS doc_id, sum(weight * idf) AS total FROM per_word JOIN weighted USING (word_id) GROUP BY 1, 2)
+  JOIN documents USING (doc_id) WHERE document_size > 0),
+quality AS (SELECT doc_id, max(quality)::DOUBLE AS value FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+scores AS (
+  SELECT query_id, doc_id, 'text' AS score, value FROM text
+  UNION ALL SELECT query_id, doc_id, 'page_rank', page_rank FROM text JOIN documents USING (doc_id) WHERE page_rank > 0
+  UNION ALL SELECT query_id, doc_id, 'quality', quality.value FROM text JOIN quality USING (doc_id)),
+ranks AS (SELECT *, rank() OVER (PARTITION BY query_id, score ORDER BY value DESC) AS r FROM scores),
+total AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + r)), 12) AS fused, count(*)::INTEGER AS n_scores FROM ranks GROUP BY 1, 2)
+SELECT query_id, doc_id, fused, n_scores, rank() OVER (PARTITION BY query_id ORDER BY fused DESC) AS rank FROM total""",
     "p7_found": _LINES + "SELECT doc_id, line_no FROM lines SEMI JOIN kept USING (source, key)",
     "p7_cleaned": _LINES
     + """, marked AS (SELECT lines.*, kept.key IS NOT NULL AS gone FROM lines LEFT JOIN kept USING (source, key))
