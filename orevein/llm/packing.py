@@ -96,23 +96,21 @@ def deal(fill: np.ndarray, per_group: int = GROUP_CONTAINERS) -> np.ndarray:
     return np.where(turn % 2 == 0, at, groups - 1 - at)
 
 
+_SHARD = "container_kind string, capacity long, shard long, doc_id long, full long, offset long, n_tokens long, tier int, place long, step long"
 _PACKED = "container_kind string, doc_id long, piece int, n_tokens long, tier int, container string, step_group string"
 
 
 def _pack_shard(frame: pd.DataFrame) -> pd.DataFrame:
-    kind, capacity, shard = frame["container_kind"].iloc[0], int(frame["capacity"].iloc[0]), int(frame["shard"].iloc[0])
+    """Containers and step groups of a shard's rests, and the number of full containers that come before each document's own."""
+    capacity = int(frame["capacity"].iloc[0])
     # a fixed order, so a repeated task packs the same
-    frame = frame.sort_values(["doc_id", "piece", "n_tokens"], kind="stable").reset_index(drop=True)
+    frame = frame.sort_values(["doc_id", "full", "n_tokens"], kind="stable").reset_index(drop=True)
     sizes = frame["n_tokens"].to_numpy()
     where, fill = pack(sizes, capacity)
-    group = deal(fill)[where]
-    tier = np.minimum(np.floor(np.log2(capacity / np.maximum(sizes, 1))), TIERS).astype(int)
-    return pd.DataFrame(
-        {
-            "container_kind": kind, "doc_id": frame["doc_id"], "piece": frame["piece"], "n_tokens": sizes, "tier": tier,
-            "container": [f"{kind}-{shard}-{i}" for i in where], "step_group": [f"{kind}-{shard}-{i}" for i in group],
-        }
-    )
+    frame["offset"] = frame["full"].cumsum() - frame["full"]
+    frame["tier"] = np.minimum(np.floor(np.log2(capacity / np.maximum(sizes, 1))), TIERS).astype(np.int32)
+    frame["place"], frame["step"] = where, deal(fill)[where]
+    return frame[["container_kind", "capacity", "shard", "doc_id", "full", "offset", "n_tokens", "tier", "place", "step"]]
 
 
 def pack_documents(counts: DataFrame, containers: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -132,14 +130,18 @@ def pack_documents(counts: DataFrame, containers: DataFrame, shard_items: int =
     each = F.explode(F.array(*[F.struct(F.lit(r["container_kind"]).alias("container_kind"), F.lit(int(r["capacity"])).cast("long").alias("capacity")) for r in kinds]))
     both = counts.select("*", each.alias("kind")).select("doc_id", "n_tokens", "kind.container_kind", "kind.capacity")
     sized = both.select("container_kind", "capacity", "doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")).withColumn("full", F.floor(F.greatest(F.col("n_tokens") - 1, F.lit(0)) / F.col("capacity")))
-    full = sized.where("full > 0").select("container_kind", "capacity", "doc_id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"))
-    name = F.concat_ws("-", "container_kind", F.lit("full"), F.col("doc_id"), F.col("piece"))
-    full_groups = F.concat_ws("-", "container_kind", F.lit("full"), F.pmod(F.xxhash64("doc_id", F.floor(F.col("piece") / GROUP_CONTAINERS)), F.lit(max(1, shards * 64))))
-    full = full.select("container_kind", "doc_id", F.col("piece").cast("int").alias("piece"), F.col("capacity").alias("n_tokens"), F.lit(0).alias("tier"), name.alias("container"), full_groups.alias("step_group"))
-    rest = sized.select(
-        "container_kind", "capacity", "doc_id", F.col("full").cast("int").alias("piece"), (F.col("n_tokens") - F.col("full") * F.col("capacity")).alias("n_tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
-    )
-    return rest.groupBy("container_kind", "shard").applyInPandas(_pack_shard, _PACKED).unionByName(full)
+    rest = sized.select("container_kind", "capacity", "doc_id", "full", (F.col("n_tokens") - F.col("full") * F.col("capacity")).alias("n_tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+    packed = rest.groupBy("container_kind", "shard").applyInPandas(_pack_shard, _SHARD)
+    # full containers are numbered along their shard, so their step groups are full as well
+    rows = packed.select("*", F.explode(F.sequence(F.lit(0), F.col("full"))).alias("piece"))
+    is_full = F.col("piece") < F.col("full")
+    named = lambda part, number: F.concat_ws("-", "container_kind", "shard", part, number)
+    number = F.col("offset") + F.col("piece")
+    return rows.select(
+        "container_kind", "doc_id", F.col("piece").cast("int").alias("piece"), F.when(is_full, F.col("capacity")).otherwise(F.col("n_tokens")).alias("n_tokens"), F.when(is_full, 0).otherwise(F.col("tier")).alias("tier"),
+        F.when(is_full, named(F.lit("full"), number)).otherwise(named(F.lit("mix"), F.col("place"))).alias("container"),
+        F.when(is_full, named(F.lit("full"), F.floor(number / GROUP_CONTAINERS))).otherwise(named(F.lit("mix"), F.col("step"))).alias("step_group"),
+    )
 
 
 def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
