@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_section, section_weight
 from ..schema import SECTION_WEIGHTS
+from ..session import cut
 
 K = 60
+#: Words of all queries up to which they are sent to every executor; beyond it, postings are joined with them by a shuffle.
+BROADCAST_WORDS = 100_000
 #: Ranges a list of values is cut into; a range holds about one in so many of its different values.
 RANGES = 64
 
@@ -27,7 +30,8 @@ def value_ranks(scores: DataFrame, by: list[str], value: str, ranges: int = RANG
 
     Items with the same value share the rank of the first of them. Nulls and NaN have no rank.
     """
-    counts = scores.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    known = scores.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counts = cut(known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), "values")
     steps = [i / ranges for i in range(1, ranges)]
     bounds = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, steps, ranges * 20)).alias("_bounds"))
     placed = counts.join(bounds, by).withColumn("_range", F.size(F.filter("_bounds", lambda b: b > F.col(value)))).drop("_bounds")
@@ -45,12 +49,13 @@ def fuse(scores: DataFrame, k: int = K, ranges: int = RANGES) -> DataFrame:
     An item without a value in a score (null or NaN) gets nothing from it. Items with the same total share a rank. Repeated rows of an
     item in a score count once, by the greatest value. Sums are rounded to 12 places, so their order of addition is of no matter.
     """
-    once = scores.groupBy("query_id", "doc_id", "score").agg(F.max(F.when(~F.isnan("value"), F.col("value"))).alias("value"))
+    once = cut(scores.groupBy("query_id", "doc_id", "score").agg(F.max(F.when(~F.isnan("value"), F.col("value"))).alias("value")), "scores")
     ranks = value_ranks(once, ["query_id", "score"], "value", ranges).withColumnRenamed("rank", "_rank").drop("n")
     each = once.join(ranks, ["query_id", "score", "value"], "left")
     total = each.groupBy("query_id", "doc_id").agg(
         F.round(F.sum(F.coalesce(1 / (k + F.col("_rank")), F.lit(0.0))), 12).alias("fused"), F.count("_rank").cast("int").alias("n_scores")
     )
+    total = cut(total, "fused")
     final = value_ranks(total, ["query_id"], "fused", ranges).drop("n")
     return total.join(final, ["query_id", "fused"]).select("query_id", "doc_id", "fused", "n_scores", "rank")
 
@@ -62,12 +67,14 @@ def text_scores(queries: DataFrame, words: DataFrame, postings: DataFrame, docum
     replaced by ln(N/df + 1). A posting stored twice counts once; documents without a size have no value.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query_text"), r"\W+"), lambda w: w != ""))).alias("word"))
-    wanted = terms.join(words.select("word_id", "word", "idf"), "word")
+    wanted = cut(terms.join(words.select("word_id", "word", "idf"), "word"), "wanted")
     ids = wanted.select("word_id").distinct()
+    # the queries are a stated set: with its size checked, postings of other words go no further than their scan
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_WORDS else ids
     hits = postings.select("document_id", "word_id", "word_position", "section").join(ids, "word_id", "left_semi")
     # partitioned by document once: the three steps that follow need no other exchange
     hits = hits.repartition("document_id").groupBy("document_id", "word_id", "word_position").agg(F.min(clean_section(F.col("section"))).alias("section"))
-    per_word = hits.groupBy("document_id", "word_id").agg(F.sum(section_weight(F.col("section"), SECTION_WEIGHTS)).alias("weight"))
+    per_word = cut(hits.groupBy("document_id", "word_id").agg(F.sum(section_weight(F.col("section"), SECTION_WEIGHTS)).alias("weight")), "weights")
     df = per_word.groupBy("word_id").agg(F.count(F.lit(1)).alias("df"))
     n = documents.select(F.count(F.lit(1)).alias("n"))
     idf = F.when(F.col("idf") > 0, F.col("idf")).otherwise(F.log(n.scalar() / F.col("df") + 1))
