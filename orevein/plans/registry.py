@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general
+from . import general, reference
 
-_MODULES = [general]
+_MODULES = [reference, general]
 
 
 def queries():
