@@ -28,6 +28,7 @@ GRAM = 3
 RARE_ITEMS = 2
 #: Words of items in one block: the bound of what is sent to the executors at once.
 BLOCK_WORDS = 400_000
+PART_WORDS = 200_000
 MIN_COVER = 0.4
 MAX_EDITS = 1 / 6
 MISMATCH, GAP, SKIP = 1.0, 1.0, 2.0
@@ -68,7 +69,10 @@ class Items:
 
     def candidates(self, ws: list[str]) -> dict[int, set]:
         """Items whose passages the text may hold, with the seeds it has of each."""
-        hits = self.index.keys() & set(zip(*(ws[i:] for i in range(GRAM))))
+        hits: set = set()
+        for a in range(0, len(ws), PART_WORDS):  # a very long text is looked up in parts
+            part = ws[a : a + PART_WORDS + GRAM - 1]
+            hits |= self.index.keys() & set(zip(*(part[i:] for i in range(GRAM))))
         if not hits and not self.tiny:
             return {}
         found: dict[int, set] = defaultdict(set)
@@ -199,7 +203,7 @@ def _match(blocks: list[Items], min_cover: float):
 def leaks(documents: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     """``(doc_id, item_id, cover)``: documents that hold a passage of at least ``min_cover`` of an item's words.
 
-    Items are read in blocks of ``BLOCK_WORDS`` words, ordered by id; null and empty items and texts give no pairs, repeated rows
+    Items are read in blocks of ``BLOCK_WORDS`` words, ordered by id; null and empty items and texts and rows without ids give no pairs, repeated rows
     give repeated pairs, and columns other than doc_id, text, item_id and text of the items are not read.
     """
     sized = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
@@ -213,7 +217,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COV
             block, size = [], 0
     if block:
         blocks.append(block)
-    texts = documents.select("doc_id", "text").where("text is not null")
+    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     parts = [texts.mapInPandas(_match([Items(b, min_cover)], min_cover), _RESULT) for b in blocks]
     if not parts:
         return spark.createDataFrame([], _RESULT)

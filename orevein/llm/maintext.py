@@ -143,7 +143,7 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def parsed_pages(pages: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Pages as node arrays; the site is the host of the url. For pages without one it is the source of the document with the page's
     file path, if documents are given; pages whose site stays unknown count as one."""
-    rows = pages.select("page_id", F.nullif(F.regexp_extract(normalize(F.col("url")), "^[a-z]+://([^/?]*)", 1), F.lit("")).alias("host"), "html", *(["file_path"] if documents is not None else []))
+    rows = pages.where("page_id is not null").select("page_id", F.nullif(F.regexp_extract(normalize(F.col("url")), "^[a-z]+://([^/?]*)", 1), F.lit("")).alias("host"), "html", *(["file_path"] if documents is not None else []))
     if documents is not None:
         # only the pages without a host are joined, so no null key gathers the rest in one task
         sources = documents.where("file_path is not null").groupBy("file_path").agg(F.max("source").alias("source"))
@@ -170,7 +170,8 @@ def _kind_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             per: dict[int, list[int]] = {}
             chains: list[frozenset] = []
             for i, up in enumerate(row.parent):
-                chains.append((chains[up] if up >= 0 else frozenset()) | {int(row.kind[i])})
+                chain, kind = chains[up] if up >= 0 else frozenset(), int(row.kind[i])
+                chains.append(chain if kind in chain else chain | {kind})
                 if row.own[i]:
                     for kind in chains[i]:
                         x = per.setdefault(kind, [0, 0, 0])
@@ -230,22 +231,21 @@ class Page:
         self.head = heads[0] if heads else -1
         self.blocks = self._blocks()
 
-    def _has_head(self, i: int) -> bool:
-        return self.head >= 0 and i <= self.head < i + self.size[i]
-
-    def _expand(self, i: int) -> list[int]:
-        """Blocks of a subtree: wrappers around the heading are opened, other nodes are blocks."""
-        if not self._has_head(i) or i == self.head or self.parent[self.head] == i:
-            return [i]
-        inside = [b for c in self.children[i] if self.leaves[c] for b in self._expand(c)]
-        return [i] if len(inside) <= 1 else inside
-
     def _blocks(self) -> list[int]:
+        """Blocks of the page: the body's children, wrappers around the heading opened, from the heading's parent upwards."""
+        inside, at = [], self.parent[self.head] if self.head >= 0 else -1
+        inside, opened = ([at], at) if at >= 0 else ([], -1)
+        while opened >= 0 and self.parent[opened] >= 0:
+            up = self.parent[opened]
+            around = [b for c in self.children[up] if self.leaves[c] for b in (inside if c == opened else [c])]
+            inside, opened = (around if len(around) > 1 else [up]), up
         out: list[int] = []
         for i in range(self.n):
             if self.parent[i] < 0 and self.leaves[i]:
-                inside = [b for c in self.children[i] if self.leaves[c] for b in self._expand(c)]
-                out += inside if inside and self.parent[self.head] != i else [i]
+                if i == opened:
+                    out += inside
+                else:
+                    out += [c for c in self.children[i] if self.leaves[c]] or [i]
         return out
 
     def prepare(self) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +357,8 @@ def main_lines(pages: DataFrame, documents: DataFrame | None = None, sample: int
     """``(page_id, line_no)``: lines of ``html`` (split at line feeds, from 0) that carry text of the main body.
 
     Missing and empty pages have none; a page that is read twice is reported twice; text outside the body element, in
-    scripts, styles, noscript and comments is never main. Columns other than page_id, url, html and file_path are not read.
+    scripts, styles, noscript and comments is never main. Rows without page_id are left out; columns other than page_id, url, html and
+    file_path are not read.
     """
     nodes = cut(parsed_pages(pages, documents), "nodes")
     facts = cut(site_facts(nodes), "facts")

@@ -163,10 +163,10 @@ def garbled(documents: DataFrame, fields: tuple[str, ...] = ("title", "descripti
     """``(doc_id, field, value, restored, is_restored)`` of the garbled values of ``fields``.
 
     A narrow operator: no shuffle, and values of ASCII characters only never leave the JVM. Each value is read whole. Nulls and
-    empty texts are not garbled; documents repeated are reported as often; an empty table gives no rows; further columns
+    empty texts are not garbled; documents without an id are left out, documents repeated are reported as often; an empty table gives no rows; further columns
     are not read. ``is_restored`` is false where replacement characters show that bytes were lost, with ``restored`` holding what
     could be brought back around them.
     """
     pairs = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]
     long = documents.select(F.col(key).alias("doc_id"), F.explode(F.array(*pairs)).alias("p")).select("doc_id", "p.field", "p.value")
-    return long.where(F.col("value").rlike(r"[^\x00-\x7F]")).mapInPandas(_repair_batches, _RESULT)
+    return long.where("doc_id is not null").where(F.col("value").rlike(r"[^\x00-\x7F]")).mapInPandas(_repair_batches, _RESULT)

@@ -43,14 +43,14 @@ def _encoder(path: str):
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``(doc_id, n_tokens)`` of whole texts; a missing text has none."""
+    """``(doc_id, n_tokens)`` of whole texts; a missing text has none, documents without an id are left out."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(tokenizer).encode_ordinary
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [len(encode(t)) if t else 0 for t in frame["text"]]})
 
-    return documents.select("doc_id", "text").mapInPandas(batches, "doc_id long, n_tokens long")
+    return documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(batches, "doc_id long, n_tokens long")
 
 
 def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

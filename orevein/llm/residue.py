@@ -120,7 +120,7 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def residue(documents: DataFrame) -> DataFrame:
     """``(doc_id, kind)`` of the documents with residue in place of content.
 
-    Nulls, empty texts and texts of furniture only have none; repeated rows are reported as often; texts of any length are read whole.
+    Nulls, empty texts and texts of furniture only have none; documents without an id are left out; repeated rows are reported as often; texts of any length are read whole.
     A document without a source has no furniture to take out.
     """
-    return residual_lines(documents).mapInPandas(_batches, "doc_id long, kind string")
+    return residual_lines(documents).where("doc_id is not null").mapInPandas(_batches, "doc_id long, kind string")

@@ -183,10 +183,10 @@ def line_model(lines: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> LineModel:
 def list_pages(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
     """``(doc_id, share, n_words)`` of documents whose body is link or tag lists for more than ``min_share`` of its words.
 
-    Nulls, empty texts and texts of furniture only are never flagged; repeated rows are reported as often; texts are read whole.
+    Nulls, empty texts and texts of furniture only are never flagged; documents without an id are left out; repeated rows are reported as often; texts are read whole.
     Only the trained model, a few hundred numbers, goes to the executors.
     """
-    lines = cut(residual_lines(documents), "residual")
+    lines = cut(residual_lines(documents).where("doc_id is not null"), "residual")
     model = line_model(lines, sample)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
