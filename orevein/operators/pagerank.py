@@ -37,13 +37,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, thres
         return nodes.select("id", F.lit(0.0).alias("page_rank"))
     start = nodes.join(degrees, nodes["id"] == degrees["source"], "left").select("id", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.lit(1.0 / n).alias("rank"), F.lit(1.0 / n).alias("before"))
     state = cut(start, "ranks")
+    # two numbers per round come to the driver: the mass of dangling nodes, for the next round, and the greatest move
+    facts = [F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("rank"))), F.lit(0.0)), F.max(F.abs(F.col("rank") - F.col("before")))]
+    loose = state.agg(*facts).first()[0]
     for _ in range(max_rounds):
-        loose = state.where("out_degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("d")).first()["d"]
         given = graph.join(state, graph["source"] == state["id"]).select("target", (F.col("n") * F.col("rank") / F.col("out_degree")).alias("gift"))
         gifts = given.groupBy("target").agg(F.sum("gift").alias("gift"))
         rank = F.lit((1 - damping) / n) + damping * (F.coalesce("gift", F.lit(0.0)) + F.lit(loose / n))
         moved = state.join(gifts, state["id"] == gifts["target"], "left").select("id", "out_degree", rank.alias("new"), F.col("rank").alias("before"))
         state = cut(moved.withColumnRenamed("new", "rank"), "ranks")
-        if state.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0] < threshold:
+        loose, moved_by = state.agg(*facts).first()
+        if moved_by < threshold:
             return state.select("id", F.col("before").alias("page_rank"))
     return state.select("id", F.col("rank").alias("page_rank"))

@@ -250,7 +250,7 @@ def resolve_links(spark, base):
     return _edges(spark, base)
 
 
-@query(f"WITH {_EDGES} SELECT doc_id AS id, coalesce(n, 0) AS out_degree FROM documents LEFT JOIN (SELECT source, count(*) AS n FROM edges GROUP BY 1) ON source = doc_id")
+@query(f"WITH {_EDGES} SELECT doc_id AS id, coalesce(n, 0) AS out_degree FROM documents LEFT JOIN (SELECT source AS s, count(*) AS n FROM edges GROUP BY 1) ON s = doc_id")
 def out_degree(spark, base):
     return pagerank.out_degrees(load(spark, base, "documents").select(F.col("doc_id").alias("id")), _edges(spark, base))
 
@@ -277,13 +277,13 @@ def pagerank_documents(spark, base):
     return pagerank.pagerank(nodes, _edges(spark, base)).select("id", F.round("page_rank", 9).alias("page_rank"))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, seeds AS (SELECT doc_id AS id FROM documents WHERE crawl_time = (SELECT min(crawl_time) FROM documents)),
+@query(f"""WITH RECURSIVE {_EDGES}, seeds AS (SELECT doc_id AS id FROM documents WHERE date_trunc('month', crawl_time) = (SELECT date_trunc('month', min(crawl_time)) FROM documents)),
 w(id, depth) AS (SELECT id, 0 FROM seeds UNION SELECT target, depth + 1 FROM w JOIN edges ON source = id WHERE depth < 3)
 SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1""")
 def crawl_waves(spark, base):
     docs = load(spark, base, "documents")
-    first = docs.select(F.min("crawl_time").alias("t")).scalar()
-    return crawl.waves(docs.where(F.col("crawl_time") == first).select(F.col("doc_id").alias("id")), _edges(spark, base))
+    first = docs.select(F.date_trunc("month", F.min("crawl_time")).alias("t")).scalar()
+    return crawl.waves(docs.where(F.date_trunc("month", "crawl_time") == first).select(F.col("doc_id").alias("id")), _edges(spark, base))
 
 
 # --- Urls, robots, pages ------------------------------------------------------------------------------------------------------------
@@ -338,7 +338,10 @@ def robots_allowed(spark, base):
     return robots.allowed(docs, rules)
 
 
-@query("SELECT page_id, html_unescape(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title FROM pages".replace("html_unescape(", "regexp_replace(trim(").replace(", 1)) AS", ", 1)), '\\s+', ' ', 'g') AS"))
+_PLAIN = "replace(replace(replace(trim(regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '[\\s\\x{{a0}}]+', ' ', 'g')), '&gt;', '>'), '&lt;', '<'), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, coalesce(nullif({_PLAIN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, ''), {_PLAIN.format("regexp_extract(html, '(?s)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)")}) AS title FROM pages")
 def html_title(spark, base):
     return load(spark, base, "pages").select("page_id", read_page("html")["title"].alias("title"))
 
@@ -356,7 +359,7 @@ def page_postings(spark, base):
     return index.build_postings(index.corpus_from_pages(load(spark, base, "pages"), "page_id"))
 
 
-@query(f"""WITH found AS (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) AS ord FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)),
+@query(f"""WITH found AS (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) AS ord FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<a\\s+href="([^"]*)"', 1) AS h FROM pages)),
 full_urls AS (SELECT page_id, ord, 'https://host.example' || href AS href FROM found WHERE starts_with(href, '/')
   UNION ALL SELECT page_id, ord, href FROM found WHERE NOT starts_with(href, '/')),
 known AS (SELECT page_id, min(ord) AS ord, {normalize_sql("href")} AS url FROM full_urls GROUP BY page_id, 3 HAVING url IS NOT NULL)
@@ -374,7 +377,7 @@ def per_depth_limit(spark, base):
 
 
 # --- Suggestions --------------------------------------------------------------------------------------------------------------------
-_HISTORY = "history AS (SELECT word AS term, count(*) AS n, max(epoch_ms(crawl_time)) AS used FROM document_words JOIN words USING (word_id) JOIN documents ON document_id = doc_id GROUP BY 1)"
+_HISTORY = "history AS (SELECT word AS term, count(*) AS n, max(epoch_us(crawl_time) // 1000) AS used FROM document_words JOIN words USING (word_id) JOIN documents ON document_id = doc_id GROUP BY 1)"
 
 
 def _history(spark: SparkSession, base: str) -> DataFrame:
@@ -384,8 +387,8 @@ def _history(spark: SparkSession, base: str) -> DataFrame:
     return named.groupBy(F.col("word").alias("term")).agg(F.sum("n").alias("count"), F.max("t").alias("last_used"))
 
 
-@query(f"""WITH {_HISTORY}, rated AS (SELECT term, n, used, instr(term, 'li') - 1 AS at, (length(term) - length(replace(term, 'li', ''))) // 2 AS hits FROM history WHERE contains(term, 'li'))
-SELECT term, round((CASE WHEN term = 'li' THEN 100 WHEN starts_with(term, 'li') THEN 75 ELSE 50 + CASE WHEN at <= 3 THEN 10 ELSE 0 END END + CASE WHEN hits > 1 THEN 5 * hits ELSE 0 END) * 1000 + 100 * ln(n + 1) + used / 1e6, 6) AS score
+@query(f"""WITH {_HISTORY}, rated AS (SELECT term, n, used, instr(term, 'li') - 1 AS spot, (length(term) - length(replace(term, 'li', ''))) // 2 AS hits FROM history WHERE contains(term, 'li'))
+SELECT term, round((CASE WHEN term = 'li' THEN 100 WHEN starts_with(term, 'li') THEN 75 ELSE 50 + CASE WHEN spot <= 3 THEN 10 ELSE 0 END END + CASE WHEN hits > 1 THEN 5 * hits ELSE 0 END) * 1000 + 100 * ln(n + 1) + used / 1e6, 6) AS score
 FROM rated ORDER BY score DESC, term LIMIT 5""")
 def suggestions_typed(spark, base):
     return suggest.suggestions(_history(spark, base), "li")
