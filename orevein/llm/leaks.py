@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 GRAM = 3
 #: A seed that stands in more items than this is not rare.
 RARE_ITEMS = 2
@@ -217,7 +219,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COV
             block, size = [], 0
     if block:
         blocks.append(block)
-    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    texts = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"))
     parts = [texts.mapInPandas(_match([Items(b, min_cover)], min_cover), _RESULT) for b in blocks]
     if not parts:
         return spark.createDataFrame([], _RESULT)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalize
-from ..session import cut
+from ..session import cut, spread
 from ..sources.html import CLOSE, INLINE, OPEN, attributes, scan
 from .gbdt import Boosted
 
@@ -149,7 +149,7 @@ def parsed_pages(pages: DataFrame, documents: DataFrame | None = None) -> DataFr
         sources = documents.where("file_path is not null").groupBy("file_path").agg(F.max("source").alias("source"))
         lost = rows.where("host is null").join(sources, "file_path", "left").select("page_id", F.col("source").alias("host"), "html")
         rows = rows.where("host is not null").select("page_id", "host", "html").unionByName(lost)
-    return rows.select("page_id", F.coalesce("host", F.lit("")).alias("host"), "html").mapInPandas(_parse_batches, _NODE)
+    return rows.select("page_id", F.coalesce("host", F.lit("")).alias("host"), "html").transform(spread).mapInPandas(_parse_batches, _NODE)
 
 
 def _supported(items: DataFrame, sizes: DataFrame, value: str, extra: dict) -> DataFrame:

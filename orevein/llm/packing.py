@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that goes with the vocabulary.
@@ -50,7 +50,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [len(encode(t)) if t else 0 for t in frame["text"]]})
 
-    return documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(batches, "doc_id long, n_tokens long")
+    return spread(documents.select("doc_id", "text").where("doc_id is not null")).mapInPandas(batches, "doc_id long, n_tokens long")
 
 
 def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 
 MIN_DOCUMENTS, MIN_SHARE = 5, 0.1
 #: White space other than the line feed, which ends a line.
@@ -39,7 +39,7 @@ def line_hashes(text: Column) -> Column:
 
 def hashed_lines(documents: DataFrame) -> DataFrame:
     """``(doc_id, source, h)``: every document with the hashes of its lines."""
-    return documents.select("doc_id", "source", line_hashes(F.col("text")).alias("h"))
+    return spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", line_hashes(F.col("text")).alias("h"))
 
 
 def _supported(items: DataFrame, sizes: DataFrame, keys: list[str], min_documents: int, min_share: float) -> DataFrame:
@@ -106,7 +106,7 @@ def boilerplate_lines(documents: DataFrame, min_documents: int = MIN_DOCUMENTS,
 def residual_lines(documents: DataFrame, *extra: str, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
     """``documents`` as ``(doc_id, *extra, lines)``: the text's lines, trimmed, without blank ones and those of high support in the source."""
     kept = cut(kept_lines(hashed_lines(documents), min_documents, min_share), "kept")
-    rows = documents.select("doc_id", "source", "text", *extra).join(kept, "source", "left")
+    rows = spread(documents.select("doc_id", "source", "text", *extra)).join(kept, "source", "left")
     none = F.array().cast("array<bigint>")
     pairs = F.arrays_zip(F.split("text", "\n").alias("line"), line_hashes(F.col("text")).alias("h"))
     left = F.filter(pairs, lambda p: p["h"].isNotNull() & ~F.array_contains(F.coalesce("kept", none), p["h"]))
