@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.porter import stem_udf
 from ..functions.text import STOP_WORDS, clean_section, tokens
+from ..session import spread
 from ..sources.html import read_page
 
 
@@ -16,12 +17,12 @@ def corpus_from_documents(documents: DataFrame) -> DataFrame:
     """``(doc_id, title, description, elements)`` of plain texts: the first line is a header, each other line a paragraph."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     element = lambda x, i: F.struct(i.alias("ord"), F.when(i == 0, F.lit("h1")).otherwise(F.lit("p")).alias("tag"), x.alias("text"))
-    return documents.select("doc_id", "title", "description", F.transform(lines, element).alias("elements"))
+    return spread(documents.select("doc_id", "title", "description", "text")).select("doc_id", "title", "description", F.transform(lines, element).alias("elements"))
 
 
 def corpus_from_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """The same of stored HTML, plus ``links`` and ``error``; a page that can't be read has an error and no elements."""
-    return pages.withColumn("_page", read_page("html")).select(F.col(key).alias("doc_id"), "_page.title", "_page.description", "_page.elements", "_page.links", "_page.error")
+    return spread(pages.select(key, "html")).withColumn("_page", read_page("html")).select(F.col(key).alias("doc_id"), "_page.title", "_page.description", "_page.elements", "_page.links", "_page.error")
 
 
 def build_postings(corpus: DataFrame, stop: Iterable[str] = STOP_WORDS) -> DataFrame:

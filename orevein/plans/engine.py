@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import retrieval as R
 from ..operators.index import stored_postings
 from ..operators.snippets import snippets
+from ..session import cut
 from ..sources.tables import load
 from .query import Query, parse
 
@@ -67,14 +68,15 @@ class SearchEngine:
         return stored_postings(self.postings, wanted)
 
     def rank(self, text: str) -> DataFrame:
-        """All documents found, with scores; lazy."""
+        """All documents found, with scores."""
         query = parse(text)
         hits, idf = self.hits(query), self.words.select("word", "idf")
         if query.is_phrase:
             phrases = query.phrase_words()
             if self.phrase_stopwords == "drop":
                 phrases = [list(parse(" ".join(p)).tokens) for p in phrases]
-            return R.boolean_rank(phrases, list(query.operators), hits, self.documents, idf)
+            # every phrase reads the hits twice: they are retrieved once, to a table
+            return R.boolean_rank(phrases, list(query.operators), cut(hits, "hits"), self.documents, idf)
         if self.match == "stem":
             return R.blended(R.tf_idf(hits, self.documents, idf, 0.0), self.documents)
         return R.keyword_rank(list(dict.fromkeys(query.tokens)), hits, self.documents, idf)

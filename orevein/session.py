@@ -38,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its files give work to fewer than half of them (one file of one row group is one task, however costly
+    the expressions are that follow). Larger inputs come in enough parts and are not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
