@@ -26,6 +26,15 @@ def get_spark(app: str = "orevein", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, even if it is not on their PYTHONPATH."""
+    environment = spark.sparkContext.environment
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([here, *paths])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a local one only where the session names none (single machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
