@@ -72,6 +72,9 @@ DEMAND = re.compile(
 )
 # The words that filler texts in mock Latin open with or repeat.
 MOCK_LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed tempor incididunt labore dolore magna aliqua vitae nulla morbi pellentesque sodales tincidunt orci unda".split())
+_LATIN_SIGNS = ("lorem", "ipsum", "dolor")
+_SLOT_SIGNS = re.compile(r"[{\[%@]|__")
+_UNSET_SIGNS = ("NaN", "null", "undefined", "None", "[object")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: A line whose message is longer than this is a text about it.
@@ -90,22 +93,23 @@ def _mock_latin(words: list[str]) -> bool:
 def evidence(lines: list[str]) -> str | None:
     """The kind of evidence in a text's residual lines: slot, unset, filler, error, demand; null if there is none."""
     for line in lines:
-        code = bool(CODE.search(line))
-        mentions = ABOUT.search(line)
+        # plain substrings rule most lines out before a pattern is tried
+        slots = _SLOT_SIGNS.search(line) is not None
+        unset = any(x in line for x in _UNSET_SIGNS)
         for sentence in _SENTENCE.split(line) if len(line) > 60 else [line]:
-            if not code and SLOT.search(sentence) and not (mentions and ABOUT.search(sentence)):
+            if slots and SLOT.search(sentence) and not CODE.search(line) and not ABOUT.search(sentence):
                 return "slot"
-            if UNSET.search(sentence):
+            if unset and UNSET.search(sentence):
                 return "unset"
-            n = sentence.count(" ") + 1
-            if n <= MAX_MESSAGE_WORDS:
+            if sentence.count(" ") < MAX_MESSAGE_WORDS:
                 if FILLER.match(sentence):
                     return "filler"
-                if ERROR.match(sentence) and not code:
+                if ERROR.match(sentence) and not CODE.search(line):
                     return "error"
                 if DEMAND.match(sentence):
                     return "demand"
-        if _mock_latin([w.lower() for w in _WORD.findall(line)]):
+        low = line.lower()
+        if any(x in low for x in _LATIN_SIGNS) and _mock_latin(_WORD.findall(low)):
             return "filler"
     return None
 

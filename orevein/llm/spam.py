@@ -11,6 +11,7 @@ sidebars, is in the total, so pages with half of their own body in lists come ou
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,16 +51,18 @@ TRADE_WORDS = frozenset(
 _WORD = re.compile(r"[^\W_]+")
 _URL = re.compile(r"(?:https?://|www\.)\S+")
 _SEPARATOR = re.compile(r"\s[|/•·»›>–—*~+-]+(?=\s)|[,;|•·](?=\s|$)|#(?=\w)")
-_PRICE = re.compile(r"[€$£]\s?\d|\d\s?(?:[€$£]|EUR|USD|GBP)\b|\bEUR\s?\d|^\W*[A-ZÀ-Þ]{2,4}-\d+\b")
-_CODE = re.compile(r"^\s*(?:[\w.]+\s*\(|[\w.]+\s*=\s|<\w+|echo\b|print\b|import\b|def\b|for\s*\(|if\s*\(|SELECT\b|File\s+\"|\$\s|\{)|[;{}]\s*$")
-_END = re.compile(r"[.!?…:][\"'”’»)]*$")
+_PRICE = re.compile(r"[€$£]\s?\d|\d\s?(?:[€$£]|EUR|USD|GBP)\b|\bEUR\s?\d")
+_ARTICLE_NUMBER = re.compile(r"\W*[A-ZÀ-Þ]{2,4}-\d+\b")
+_MONEY = ("€", "$", "£", "EUR", "USD", "GBP")
+_QUOTES, _ENDS, _CODE_ENDS = "\"'”’») ", frozenset(".!?…:"), frozenset(";{}")
+_CODE = re.compile(r"\s*(?:[\w.]+\s*\(|[\w.]+\s*=\s|<\w+|echo\b|print\b|import\b|def\b|for\s*\(|if\s*\(|SELECT\b|File\s+\"|\$\s|\{)")
 #: A heading, a dash and a sentence, without a link: the teaser of another page.
 _TEASER = re.compile(r"^[^.!?]{6,90}? [-–—] [^a-z\s].*[.!?][\"”»)]*$")
 BINS = (5, 3, 2, 4, 4, 2, 2, 4, 3, 3)
 
 
-def _bin(value: float, *edges: float) -> int:
-    return sum(value > e for e in edges)
+#: Bounds of the bins of shares, separators, repetition, length, trade words and likeness.
+_FUNCTION, _SEPARATORS, _REPEAT, _LENGTH, _TRADE, _LIKE = (0, 0.1, 0.2, 0.3), (0, 0.12, 0.3), (0.12, 0.3, 0.5), (3, 9, 20), (0, 0.15), (0.2, 0.45)
 
 
 def observe(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,32 +70,33 @@ def observe(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     parsed = []
     for line in lines:
         words = _WORD.findall(line.lower())
-        parsed.append((words, {w for w in words if w not in FUNCTION_WORDS}))
+        different = set(words)
+        parsed.append((words, different, different - FUNCTION_WORDS))
     out = np.zeros((len(lines), len(BINS)), np.int64)
     sizes = np.zeros(len(lines), np.int64)
     for i, line in enumerate(lines):
-        words, content = parsed[i]
+        words, different, content = parsed[i]
         n = len(words) or 1
         sizes[i] = len(words)
-        bare = _URL.sub(" ", line)
+        bare = _URL.sub(" ", line) if "://" in line or "www." in line else line
         links = 0 if bare == line else (2 if len(_WORD.findall(bare)) <= 2 else 1)
         like = 0.0
         if content:
-            near = [len(content & parsed[j][1]) / len(content) for j in (i - 1, i + 1) if 0 <= j < len(lines)]
+            near = [len(content & parsed[j][2]) / len(content) for j in (i - 1, i + 1) if 0 <= j < len(lines)]
             like = max(near, default=0.0)
-        function = sum(w in FUNCTION_WORDS for w in words) / n
-        trade = sum(w in TRADE_WORDS for w in words) / n
+        function = sum(map(FUNCTION_WORDS.__contains__, words)) / n
+        trade = sum(map(TRADE_WORDS.__contains__, words)) / n if not TRADE_WORDS.isdisjoint(different) else 0.0
         out[i] = (
-            _bin(function, 0, 0.1, 0.2, 0.3),
+            bisect_left(_FUNCTION, function),
             links,
-            bool(_END.search(line)),
-            _bin(len(_SEPARATOR.findall(line)) / n, 0, 0.12, 0.3),
-            _bin(1 - len(set(words)) / n, 0.12, 0.3, 0.5) if n >= 8 else 0,
-            bool(_PRICE.search(line)),
-            bool(_CODE.search(line)) and links == 0,
-            _bin(n, 3, 9, 20),
-            _bin(trade, 0, 0.15),
-            _bin(like, 0.2, 0.45),
+            line.rstrip(_QUOTES)[-1:] in _ENDS,
+            bisect_left(_SEPARATORS, len(_SEPARATOR.findall(line)) / n),
+            bisect_left(_REPEAT, 1 - len(different) / n) if n >= 8 else 0,
+            any(c in line for c in _MONEY) and bool(_PRICE.search(line)) or bool(_ARTICLE_NUMBER.match(line)),
+            links == 0 and (line.rstrip()[-1:] in _CODE_ENDS or bool(_CODE.match(line))),
+            bisect_left(_LENGTH, n),
+            bisect_left(_TRADE, trade),
+            bisect_left(_LIKE, like),
         )
     return out, sizes
 
@@ -119,6 +123,9 @@ class LineModel:
 
     def __init__(self, start: np.ndarray, step: np.ndarray, emit: list[np.ndarray]):
         self.start, self.step, self.emit = start, step, emit
+        # one table of all features' bins, so a line's score is one lookup and a sum
+        self.offset = np.concatenate([[0], np.cumsum(BINS)[:-1]])
+        self.flat = np.concatenate([t.T for t in emit])
 
     @classmethod
     def count(cls, documents: list[tuple[np.ndarray, np.ndarray]]) -> LineModel:
@@ -139,7 +146,7 @@ class LineModel:
         """The likeliest states (Viterbi)."""
         if not len(x):
             return np.zeros(0, np.int64)
-        score = sum(table[:, x[:, f]] for f, table in enumerate(self.emit)).T
+        score = self.flat[x + self.offset].sum(1)
         # what a plain rule says of a long or telling line weighs as much as one more strong feature
         sure = seed(x)
         told = np.flatnonzero((sure >= 0) & (sure != MENU))
