@@ -5,7 +5,7 @@ the document holds enough of the item's seeds: two rare ones, and so many of any
 hold fewer. Candidates are aligned by Smith-Waterman over words, with one step
 more than usual: from the end of a line the alignment may continue at the beginning of a later one, so foreign lines between the parts of a
 passage cost a constant. The best alignment's longest stretch within the allowed edits decides, unless it is of like wording only: of
-the stretch's rare words (names and numbers, as a rule) at least half must be the same.
+the stretch's rare words (names and numbers, as a rule) at least two thirds must be the same.
 
 Scale: documents are read once and nothing is shuffled. The items are the stated set: they are cut into blocks whose seeds fit a fixed
 bound, each block is sent to the executors, and all blocks are matched in the same pass over a document, or in further passes where they
@@ -134,7 +134,7 @@ def align(item: np.ndarray, text: np.ndarray, starts: np.ndarray) -> list[tuple[
 
 def covered(steps: list[tuple[int, int]], rare: np.ndarray, max_edits: float = MAX_EDITS) -> int:
     """Item words in the longest stretch of an alignment whose edits are at most that share of its words, and whose rare words are the
-    same for half at least."""
+    same for two thirds at least."""
     if not steps:
         return 0
     kind, place = np.array([k for k, _ in steps]), np.array([j for _, j in steps])
@@ -142,7 +142,7 @@ def covered(steps: list[tuple[int, int]], rare: np.ndarray, max_edits: float = M
     is_rare = of_item & rare[np.minimum(place, len(rare) - 1)]
     run = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[None, :] - c[:, None]
     length = run(of_item)
-    good = (run(kind > 0) <= max_edits * length + 1e-9) & (length > 0) & (2 * run(is_rare & (kind == 0)) >= run(is_rare))
+    good = (run(kind > 0) <= max_edits * length + 1e-9) & (length > 0) & (3 * run(is_rare & (kind == 0)) >= 2 * run(is_rare))
     return int(np.where(good, length, 0).max())
 
 
