@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .urls import url_host, url_path
 
-AGENT = "sher-look-cawler"
+#: The crawler's own name in robots files; give the one in use.
+AGENT = "orevein"
 
 
 def rule_regex(rule: Column) -> Column:
