@@ -57,20 +57,22 @@ class SearchEngine:
     def over(cls, spark: SparkSession, base: str, **options) -> SearchEngine:
         return cls(*(load(spark, base, t) for t in ("documents", "words", "document_words")), **options)
 
-    def hits(self, query: Query) -> DataFrame:
-        """Postings of the query's words only: the vocabulary is filtered before postings are joined with it."""
+    def wanted(self, query: Query) -> DataFrame:
+        """The rows of the vocabulary that the query asks for."""
         if query.is_phrase:
-            wanted = self.words.where(F.col("word").isin(*{w for p in query.phrase_words() for w in p}))
+            return self.words.where(F.col("word").isin(*sorted({w for p in query.phrase_words() for w in p})))
         elif self.match == "stem":
-            wanted = self.words.where(F.col("stem").isin(*query.stems)) if query.stems else self.words.where(F.lit(False))
-        else:
-            wanted = self.words.where(F.col("word").isin(*query.tokens)) if query.tokens else self.words.where(F.lit(False))
-        return stored_postings(self.postings, wanted)
+            return self.words.where(F.col("stem").isin(*query.stems)) if query.stems else self.words.where(F.lit(False))
+        return self.words.where(F.col("word").isin(*query.tokens)) if query.tokens else self.words.where(F.lit(False))
+
+    def hits(self, query: Query) -> DataFrame:
+        """Postings of the query's words only: the vocabulary is filtered before postings are joined with it."""
+        return stored_postings(self.postings, self.wanted(query))
 
     def rank(self, text: str) -> DataFrame:
         """All documents found, with scores."""
         query = parse(text)
-        hits, idf = self.hits(query), self.words.select("word", "idf")
+        hits, idf = self.hits(query), self.wanted(query).select("word", "idf")
         if query.is_phrase:
             phrases = query.phrase_words()
             if self.phrase_stopwords == "drop":
