@@ -269,9 +269,9 @@ pr(k, id, r) AS (
     SELECT nodes.id AS id, m.k AS k, m.loose AS loose, n, gifts.g AS g FROM nodes, size,
       (SELECT max(k) AS k, sum(CASE WHEN d IS NULL THEN r ELSE 0 END) AS loose FROM pr LEFT JOIN degree USING (id)) m
     LEFT JOIN (SELECT target, sum(r / d) AS g FROM pr JOIN degree USING (id) JOIN known ON source = id GROUP BY 1) gifts ON gifts.target = nodes.id)
-  WHERE k < 30),
+  WHERE k < 100),
 moved AS (SELECT a.k, max(abs(b.r - a.r)) AS d FROM pr a JOIN pr b ON b.k = a.k + 1 AND b.id = a.id GROUP BY 1)
-SELECT id, round(r, 9) AS page_rank FROM pr WHERE k = (SELECT coalesce(min(k), 30) FROM moved WHERE d < 1e-5)""")
+SELECT id, round(r, 9) AS page_rank FROM pr WHERE k = (SELECT coalesce(min(k), 100) FROM moved WHERE d < 1e-5)""")
 def pagerank_documents(spark, base):
     nodes = load(spark, base, "documents").select(F.col("doc_id").alias("id"))
     return pagerank.pagerank(nodes, _edges(spark, base)).select("id", F.round("page_rank", 9).alias("page_rank"))
