@@ -4,13 +4,16 @@ A garbled text holds, character by character, the bytes of its true encoding as
 maps characters back to bytes of one code page at a time, runs an automaton over the structure of UTF-8 bytes, takes the maximal
 spans of well-formed multibyte sequences and decodes those spans only, so that text around them stays as it is. Text decoded
 twice takes several rounds. A second, single-byte pass reads words in which letters of the wrong case or stray signs stand inside a
-word as another code page's bytes. What holds replacement characters is found, though it can't be restored.
+word as another code page's bytes. What holds replacement characters is found, though it can't be restored. Garbled characters may
+also stand as HTML character references; these are resolved first, and references that are correct are no case.
 """
 
 from __future__ import annotations
 
 import re
 from functools import cache
+from html import unescape
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -133,19 +136,38 @@ def _single_byte(text: str) -> str:
     return text
 
 
+#: A character reference, also one whose ampersand was escaped again.
+_REFERENCE = re.compile(r"&(?:amp;)*(#[0-9]{1,20};?|#[xX][0-9a-fA-F]{1,20};?|[A-Za-z][A-Za-z0-9]*;?)")
+
+
+def _character(reference: re.Match) -> str:
+    """The characters beyond ASCII that a reference stands for; itself if it is of ASCII or of none."""
+    name = reference[1]
+    if name[0] != "#" and name not in html5:
+        return reference[0]
+    shown = unescape("&" + name)
+    invented = REPLACEMENT in shown and name.lower().rstrip(";").replace("#x0", "#x") not in ("#65533", "#xfffd")
+    return reference[0] if invented or not shown or min(shown) < "\x80" else shown
+
+
 def repair(text: str | None) -> tuple[bool, str | None]:
-    """Whether ``text`` is garbled, and what it was; the text itself where nothing is wrong or what is left can't be restored."""
-    if text is None or text.isascii():
+    """Whether ``text`` is garbled, and what it was; the text itself where nothing is wrong or what is left can't be restored.
+
+    In a garbled text references of characters beyond ASCII are resolved; those of ASCII characters, as ``&amp;``, stay.
+    """
+    if text is None or text.isascii() and "&" not in text:
         return False, text
-    now = text
+    plain = _REFERENCE.sub(_character, text) if "&" in text else text
+    now = plain
     for _ in range(ROUNDS):
         then = _utf8_round(now)
         if then == now:
             break
         now = then
-    if now == text:
-        now = _single_byte(text)
-    return now != text or REPLACEMENT in text, now
+    if now == plain:
+        now = _single_byte(plain)
+    found = now != plain or REPLACEMENT in plain
+    return found, now if found else text
 
 
 _RESULT = "doc_id long, field string, value string, restored string, is_restored boolean"
@@ -162,11 +184,11 @@ def _repair_batches(batches):
 def garbled(documents: DataFrame, fields: tuple[str, ...] = ("title", "description"), key: str = "doc_id") -> DataFrame:
     """``(doc_id, field, value, restored, is_restored)`` of the garbled values of ``fields``.
 
-    A narrow operator: no shuffle, and values of ASCII characters only never leave the JVM. Each value is read whole. Nulls and
+    A narrow operator: no shuffle, and values of ASCII characters only without a character reference never leave the JVM. Each value is read whole. Nulls and
     empty texts are not garbled; documents without an id are left out, documents repeated are reported as often; an empty table gives no rows; further columns
     are not read. ``is_restored`` is false where replacement characters show that bytes were lost, with ``restored`` holding what
     could be brought back around them.
     """
     pairs = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]
     long = documents.select(F.col(key).alias("doc_id"), F.explode(F.array(*pairs)).alias("p")).select("doc_id", "p.field", "p.value")
-    return long.where("doc_id is not null").where(F.col("value").rlike(r"[^\x00-\x7F]")).mapInPandas(_repair_batches, _RESULT)
+    return long.where("doc_id is not null").where(F.col("value").rlike(r"[^\x00-\x7F]|&[#A-Za-z]")).mapInPandas(_repair_batches, _RESULT)

@@ -60,6 +60,23 @@ def test_garbled_table(spark):
     assert got == [(1, "title", "für", True), (1, "title", "für", True), (3, "description", "aaé", True)]
     assert mojibake.garbled(frame.where("1 = 0")).count() == 0
 
+@pytest.mark.parametrize(
+    "shown, text",
+    [
+        ("112 Gr&#195;&#188;nde f&#195;&#188;r Winijas", "112 Gründe für Winijas"), ("You don&#226;&#8364;&#8482;t", "You don’t"), ("Caf&#xC3;&#xA9;", "Café"), ("Caf&Atilde;&copy; Q&amp;A &lt;b&gt;", "Café Q&amp;A &lt;b&gt;"),
+        ("&#208;&#376;&#208;&#190;&#209;&#8225;&#208;&#181;&#208;&#188;&#209;&#402;", "Почему"), ("Caf&amp;#195;&amp;#169;", "Café"), ("Caf&#195&#169 x", "Café x"), ("CafÃ&#169;, d&#233;j&agrave;", "Café, déjà"), ("sch&#195;&#131;&#194;&#182;n", "schön"),
+        ("f&#252;r Gr&ouml;&szlig;e", None), ("&#xE9;t&eacute; &amp; &copy; 2020 &#8364;", None), ("AT&T, R&D &bogus; ?a=1&copyright=2", None), ("&#55357;&#0;&#99999999;", None),
+    ],
+)
+def test_garbled_references(spark, shown, text):
+    assert mojibake.repair(shown) == (text is not None, text or shown)
+    got = mojibake.garbled(spark.createDataFrame([(1, shown, None)], "doc_id long, title string, description string")).collect()
+    assert [(r["restored"], r["is_restored"]) for r in got] == ([(text, True)] if text else [])
+
+
+def test_lost_reference():
+    assert mojibake.repair("el &#65533;rbol &#xFFFD;") == (True, "el �rbol �")
+
 
 # --- Lines of a site --------------------------------------------------------------------------------------------------
 def _site(spark, n=30):
