@@ -5,7 +5,8 @@ the document holds enough of the item's seeds: two rare ones, and so many of any
 hold fewer. Candidates are aligned by Smith-Waterman over words, with one step
 more than usual: from the end of a line the alignment may continue at the beginning of a later one, so foreign lines between the parts of a
 passage cost a constant. The best alignment's longest stretch within the allowed edits decides, unless it is of like wording only: of
-the stretch's rare words (names and numbers, as a rule) at least two thirds must be the same.
+its rare words (names and numbers, as a rule) none is the same, or more than one and more than a third are changed, and edits that strike
+any word alike, as many as are allowed, would strike so many of them with a chance below ``LIKE_CHANCE`` only.
 
 Scale: documents are read once and nothing is shuffled. The items are the stated set: they are cut into blocks whose seeds fit a fixed
 bound, each block is sent to the executors, and all blocks are matched in the same pass over a document, or in further passes where they
@@ -17,6 +18,8 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -33,6 +36,8 @@ BLOCK_WORDS = 400_000
 PART_WORDS = 200_000
 MIN_COVER = 0.4
 MAX_EDITS = 1 / 6
+#: Chance of so many changed rare words below which the edits picked them.
+LIKE_CHANCE = 0.025
 MISMATCH, GAP, SKIP = 1.0, 1.0, 2.0
 _WORD = re.compile(r"[^\W_]+")
 
@@ -132,18 +137,30 @@ def align(item: np.ndarray, text: np.ndarray, starts: np.ndarray) -> list[tuple[
     return steps[::-1]
 
 
+@lru_cache(maxsize=100_000)
+def chance(n: int, edits: int, rare: int, changed: int) -> float:
+    """Chance that of ``edits`` words drawn from ``n``, ``rare`` of them rare, ``changed`` or more are rare ones."""
+    return sum(comb(rare, k) * comb(n - rare, edits - k) for k in range(changed, min(rare, edits) + 1)) / comb(n, edits)
+
+
 def covered(steps: list[tuple[int, int]], rare: np.ndarray, max_edits: float = MAX_EDITS) -> int:
-    """Item words in the longest stretch of an alignment whose edits are at most that share of its words, and whose rare words are the
-    same for two thirds at least."""
+    """Item words in the longest stretch of an alignment whose edits are at most that share of its words, and whose changed rare words
+    are no more than the allowed edits explain."""
     if not steps:
         return 0
     kind, place = np.array([k for k, _ in steps]), np.array([j for _, j in steps])
     of_item = kind != 2
     is_rare = of_item & rare[np.minimum(place, len(rare) - 1)]
     run = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[None, :] - c[:, None]
-    length = run(of_item)
-    good = (run(kind > 0) <= max_edits * length + 1e-9) & (length > 0) & (3 * run(is_rare & (kind == 0)) >= 2 * run(is_rare))
-    return int(np.where(good, length, 0).max())
+    length, names, changed = run(of_item), run(is_rare), run(is_rare & (kind > 0))
+    good = (run(kind > 0) <= max_edits * length + 1e-9) & (length > 0)
+    doubtful = good & (3 * changed > names)
+    best = int(np.where(good & ~doubtful, length, 0).max())
+    doubtful &= (length > best) & (changed < names)
+    if doubtful.any():
+        cases = np.unique(np.stack([x[doubtful] for x in (length, (length * max_edits + 1e-9).astype(int), names, changed)], axis=1), axis=0)
+        best = next((c[0] for c in cases[::-1].tolist() if c[3] == 1 or chance(*c) >= LIKE_CHANCE), best)
+    return best
 
 
 def leak(items: Items, k: int, grams: set, lines: list[list[str]]) -> float:

@@ -293,6 +293,24 @@ def test_alignment_of_like_wording():
     assert leaks.leak(items, 0, set(), [items.words[0]]) == 1.0
 
 
+@pytest.mark.parametrize("names, changed, cover", [((4, 11), (4,), 0.4), ((3, 9), (9,), 0.5), ((3, 8, 13, 17), (8, 13), 0.6), ((2, 6, 10, 14, 18), (6, 14), 0.6)])
+def test_changed_names_within_the_edits_are_a_leak(names, changed, cover):
+    # 40 common words of three items, some of which only the first has; a passage of it with names changed
+    common = [f"common{i}" for i in range(40)]
+    item = [f"name{i}" if i in names else w for i, w in enumerate(common)]
+    items = leaks.Items([(1, " ".join(item)), *((i, " ".join(common)) for i in (2, 3, 4))])
+    part = [f"other{i}" if i in changed else w for i, w in enumerate(item[: int(40 * cover)])]
+    ws = ["foreign", *part, "line"]
+    assert leaks.leak(items, 0, items.candidates(ws).get(0, set()), [ws]) >= cover - 1e-9
+
+
+def test_all_names_changed_is_like_wording():
+    # as in sf0.1, where 13 words with both names changed are no case
+    steps = [(0 if i not in (3, 9) else 1, i) for i in range(13)]
+    rare = np.array([i in (3, 9) for i in range(13)])
+    assert leaks.covered(steps, rare) < 11 and leaks.covered(steps, np.array([i == 3 for i in range(13)])) < 11 and leaks.covered(steps, np.array([i in (3, 8) for i in range(13)])) == 13
+
+
 # --- Packing ----------------------------------------------------------------------------------------------------------
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 64), max_size=60))
