@@ -1,8 +1,8 @@
 """Evaluation texts inside training texts (problem 9).
 
-Seeds are the word n-grams of the test items; rare are those that stand in few items. A document and an item become a candidate pair where
-the document holds enough of the item's seeds: two rare ones, and so many of any kind that a passage as long as asked for, with as many edits as allowed, could not
-hold fewer. Candidates are aligned by Smith-Waterman over words, with one step
+Seeds are the word n-grams of the test items. A document and an item become a candidate pair where the document holds one of the item's
+seeds, and has the words of some stretch of the item as long as asked for, but for as many as may be changed: no passage has fewer. Of a
+passage in b + 1 parts one seed at least is whole if it has more than 4 b + 4 words. Candidates are aligned by Smith-Waterman over words, with one step
 more than usual: from the end of a line the alignment may continue at the beginning of a later one, so foreign lines between the parts of a
 passage cost a constant. The best alignment's longest stretch within the allowed edits decides, unless it is of like wording only: of
 its rare words (names and numbers, as a rule) none is the same, or more than one and more than a third are changed, and edits that strike
@@ -19,7 +19,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import spread
 
 GRAM = 3
-#: A seed that stands in more items than this is not rare.
+#: A word that stands in more items than this is not rare, unless it is a number.
 RARE_ITEMS = 2
 #: Words of items in one block: the bound of what is sent to the executors at once.
 BLOCK_WORDS = 400_000
@@ -59,14 +59,10 @@ class Items:
             for g in set(zip(*(ws[i:] for i in range(GRAM)))):
                 self.index[g].append(k)
         self.index = dict(self.index)
-        # a passage of m words with m/6 edits keeps m - 2 - 3m/6 of its 3-grams at least; foreign lines may break a few more
         df = Counter(w for ws in self.words for w in set(ws))
-        self.rare = [np.array([df[w] <= RARE_ITEMS for w in ws], bool) for ws in self.words]
-        self.rare_seeds = [0] * len(self.words)
-        for ks in self.index.values():
-            for k in ks if len(ks) <= RARE_ITEMS else ():
-                self.rare_seeds[k] += 1
-        self.enough = [max(2, int(min_cover * len(ws) * (1 - GRAM * MAX_EDITS)) - 4) for ws in self.words]
+        self.rare = [np.array([df[w] <= RARE_ITEMS or w.isnumeric() for w in ws], bool) for ws in self.words]
+        # an edit at the very end of a passage leaves the alignment a word short
+        self.least = [max(1, ceil(min_cover * len(ws) - 1 - 1e-6)) for ws in self.words]
         self.tiny = defaultdict(list)
         for k, ws in enumerate(self.words):
             if 0 < len(ws) < 2 * GRAM + 2:
@@ -83,19 +79,28 @@ class Items:
         if not hits and not self.tiny:
             return {}
         found: dict[int, set] = defaultdict(set)
-        rare: Counter = Counter()
         for g in hits:
-            items = self.index[g]
-            for k in items:
+            for k in self.index[g]:
                 found[k].add(g)
-                rare[k] += len(items) <= RARE_ITEMS
-        out = {k: gs for k, gs in found.items() if (rare[k] >= min(2, self.rare_seeds[k]) and len(gs) >= self.enough[k]) or len(self.words[k]) < 4 * GRAM}
+        present = set(ws)
+        out = {k: gs for k, gs in found.items() if self.holds(k, present)}
         if self.tiny:  # items too short for seeds of three words are found by any word
-            for w in set(ws) & self.tiny.keys():
+            for w in present & self.tiny.keys():
                 for k in self.tiny[w]:
                     out.setdefault(k, set())
         return out
 
+    def holds(self, k: int, present: set) -> bool:
+        """Whether some stretch of item ``k``, as long as asked for, lacks no more words than may be changed."""
+        least, sums, low = self.least[k], [0.0], 1e9
+        for w in self.words[k]:
+            sums.append(sums[-1] + MAX_EDITS - (w not in present))
+            if len(sums) > least:
+                low = min(low, sums[-1 - least])
+                if sums[-1] >= low - 1e-6:
+                    return True
+        return False
+
 
 def align(item: np.ndarray, text: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
     """Smith-Waterman of item and text word codes. ``starts``: whether a text word begins a line.
@@ -188,8 +193,11 @@ def leak(items: Items, k: int, grams: set, lines: list[list[str]]) -> float:
             j += 1
         low, high = max(0, hits[i] - n - 5), min(len(ws), hits[j] + GRAM + n + 5)
         # in a very long run of hits the table stays bounded: windows overlap by more than a passage can span
-        for a in range(low, high, 20 * reach):
-            b = min(high, a + 22 * reach)
+        step = high - low if high - low <= 22 * reach else 2 * reach
+        for a in range(low, high, step):
+            b = min(high, a + step + 2 * reach)
+            if grams and not items.holds(k, set(ws[a:b])):
+                continue
             text = np.array([code.get(w, -1) for w in ws[a:b]], np.int64)
             best = max(best, covered(align(item, text, starts[a:b]), items.rare[k]))
         i = j + 1
@@ -211,7 +219,6 @@ def _match(blocks: list[Items], min_cover: float):
                     for k, grams in items.candidates(ws).items():
                         lines = lines or [words(line) for line in text.split("\n")]
                         cover = leak(items, k, grams, lines)
-                        # an edit at the very end of a passage leaves the alignment a word short
                         if cover >= min_cover - 1 / len(items.words[k]) - 1e-9:
                             out.append((doc, items.ids[k], cover))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cover"])

@@ -311,6 +311,23 @@ def test_all_names_changed_is_like_wording():
     assert leaks.covered(steps, rare) < 11 and leaks.covered(steps, np.array([i == 3 for i in range(13)])) < 11 and leaks.covered(steps, np.array([i in (3, 8) for i in range(13)])) == 13
 
 
+def test_passage_with_few_seeds_is_aligned():
+    # every sixth word changed and foreign lines inside the runs between: 6 of 24 words' seeds are left, 4 of them in pairs
+    item = [f"w{i}" for i in range(60)]
+    items = leaks.Items([(1, " ".join(item))])
+    part = ["changed" if i % 5 == 4 and i < 20 else w for i, w in enumerate(item[:24])]
+    lines = [part[:7], ["foreign"] * 6, part[7:12], ["foreign"] * 6, part[12:17], ["foreign"] * 6, part[17:]]
+    found = items.candidates([w for line in lines for w in line])
+    assert 0 in found and leaks.leak(items, 0, found[0], lines) >= 0.4 - 1 / 60
+
+
+def test_wording_of_three_items_is_a_leak_of_each():
+    shared = [f"w{i}" for i in range(20)]
+    items = leaks.Items([(k, " ".join(shared + [f"own{k}x{i}" for i in range(20)])) for k in range(3)])
+    found = items.candidates(shared)
+    assert [leaks.leak(items, k, found[k], [shared]) for k in sorted(found)] == [0.5, 0.5, 0.5]
+
+
 # --- Packing ----------------------------------------------------------------------------------------------------------
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 64), max_size=60))
