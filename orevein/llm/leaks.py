@@ -47,9 +47,9 @@ def words(text: str) -> list[str]:
 
 
 class Items:
-    """Test items by their words, with an index of their n-grams."""
+    """Test items by their words, with an index of their n-grams. ``df``: items that hold each word, where ``rows`` are a block of more."""
 
-    def __init__(self, rows: list[tuple[int, str]], min_cover: float = MIN_COVER):
+    def __init__(self, rows: list[tuple[int, str]], min_cover: float = MIN_COVER, df: Counter | None = None):
         self.ids = [i for i, _ in rows]
         self.words = [words(t or "") for _, t in rows]
         self.codes = [{w: k for k, w in enumerate(dict.fromkeys(ws))} for ws in self.words]
@@ -59,7 +59,7 @@ class Items:
             for g in set(zip(*(ws[i:] for i in range(GRAM)))):
                 self.index[g].append(k)
         self.index = dict(self.index)
-        df = Counter(w for ws in self.words for w in set(ws))
+        df = Counter(w for ws in self.words for w in set(ws)) if df is None else df
         self.rare = [np.array([df[w] <= RARE_ITEMS or w.isnumeric() for w in ws], bool) for ws in self.words]
         # an edit at the very end of a passage leaves the alignment a word short
         self.least = [max(1, ceil(min_cover * len(ws) - 1 - 1e-6)) for ws in self.words]
@@ -229,14 +229,15 @@ def _match(blocks: list[Items], min_cover: float):
 def leaks(documents: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     """``(doc_id, item_id, cover)``: documents that hold a passage of at least ``min_cover`` of an item's words.
 
-    Items are read in blocks of ``BLOCK_WORDS`` words, ordered by id; null and empty items and texts and rows without ids give no pairs, repeated rows
+    Items are read in blocks of ``BLOCK_WORDS`` words, ordered by id, and words counted over all of them; null and empty items and texts and rows without ids give no pairs, repeated rows
     give repeated pairs, and columns other than doc_id, text, item_id and text of the items are not read.
     """
     sized = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     spark = documents.sparkSession
-    block, size, blocks = [], 0, []
+    block, size, blocks, df = [], 0, [], Counter()
     for row in sized.orderBy("item_id", "text").toLocalIterator():
         block.append((row["item_id"], row["text"]))
+        df.update(set(words(row["text"])))
         size += row["text"].count(" ") + 1
         if size >= BLOCK_WORDS:
             blocks.append(block)
@@ -244,7 +245,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COV
     if block:
         blocks.append(block)
     texts = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"))
-    parts = [texts.mapInPandas(_match([Items(b, min_cover)], min_cover), _RESULT) for b in blocks]
+    parts = [texts.mapInPandas(_match([Items(b, min_cover, df)], min_cover), _RESULT) for b in blocks]
     if not parts:
         return spark.createDataFrame([], _RESULT)
     out = parts[0]

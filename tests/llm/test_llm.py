@@ -328,6 +328,21 @@ def test_wording_of_three_items_is_a_leak_of_each():
     assert [leaks.leak(items, k, found[k], [shared]) for k in sorted(found)] == [0.5, 0.5, 0.5]
 
 
+def test_blocks_do_not_change_what_is_rare(spark, monkeypatch):
+    # the names that the text has changed stand in three items: not rare, whichever block the items are in
+    shared = [f"w{i}" for i in range(30)]
+    bench = spark.createDataFrame([(k, " ".join(shared + [f"own{k}x{i}" for i in range(20)])) for k in range(3)], "item_id long, text string")
+    part = ["changed" if i in (5, 11, 17) else w for i, w in enumerate(shared)]
+    frame = spark.createDataFrame([(1, "s", " ".join(part), "", "", 1)], DOCS)
+    rows = lambda: sorted((r["doc_id"], r["item_id"], round(r["cover"], 6)) for r in leaks.leaks(frame, bench).collect())
+    whole = rows()
+    seen = []
+    monkeypatch.setattr(leaks, "Items", lambda *a, made=leaks.Items: seen.append(made(*a)) or seen[-1])
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 10)
+    assert rows() == whole and len(whole) == 3 and len(seen) == 3
+    assert not any(x.rare[0][:30].any() for x in seen)
+
+
 # --- Packing ----------------------------------------------------------------------------------------------------------
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 64), max_size=60))
