@@ -14,6 +14,7 @@ import re
 from functools import cache
 from html import unescape
 from html.entities import html5
+from unicodedata import category
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 # Code pages that text in Latin and Cyrillic letters is commonly misread with.
 CODE_PAGES = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850")
-#: Pairs (read with, true encoding) of the single-byte pass.
-SINGLE_BYTE = (("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp850"), ("cp1251", "cp1252"), ("cp1252", "cp1251"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251"))
+#: Pairs (read with, true encoding) of the single-byte pass over Latin words; those of Cyrillic ones are below.
+SINGLE_BYTE = (("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp850"))
 ROUNDS = 4
 REPLACEMENT = "�"
 _LETTERS_RU = "ёЁ"
@@ -42,10 +43,17 @@ def to_bytes(page: str) -> dict[str, int]:
     return out
 
 
+_MARKS = frozenset([*range(0x300, 0x305), 0x306, 0x307, 0x308, 0x30A, 0x30B, 0x30C, 0x327, 0x328])
+
+
 def plausible(ch: str) -> bool:
     """Whether a decoded character is one that text in European languages is made of, or a byte of the next round."""
     c = ord(ch)
-    return 0x80 <= c <= 0x17F or 0x2010 <= c <= 0x203A or c in (0x20AC, 0x2122, 0x401, 0x451) or 0x410 <= c <= 0x44F or 0x391 <= c <= 0x3CE
+    if c >= 0x10000:
+        return category(ch) not in ("Cn", "Co")
+    if 0x300 <= c <= 0x36F:  # marks that are in use: others stand for a correct accented capital and a closing quote
+        return c in _MARKS
+    return c in (0x200D, 0xFE0F) or 0x2600 <= c <= 0x27BF or 0x80 <= c <= 0x17F or 0x2010 <= c <= 0x203A or c in (0x20AC, 0x2122, 0x401, 0x451) or 0x410 <= c <= 0x44F or 0x391 <= c <= 0x3CE
 
 
 def sequences(text: str, page: str) -> list[tuple[int, int, str]]:
@@ -114,23 +122,54 @@ _MIXED = re.compile(r"[a-zß-öø-ÿ][À-ÖØ-ÝŠŽŸŒ‡·ˆ‰„‚˙˚¸
 _NATURAL = re.compile(r"^[^\w]*(?:[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ’'-]+|[A-ZÀ-ÖØ-Þ’'-]+)[^\w]*$")
 
 
+#: Cyrillic words shown with Latin letters or with their cases swapped, and single Cyrillic letters inside Latin words.
+_ODD_CYRILLIC = (
+    (re.compile(r"^[^\w]*[À-ÿ¸¨]{4,}[^\w]*$"), (("cp1252", "cp1251"),)),
+    (re.compile(r"^[^\w]*[а-яё][А-ЯЁ]{3,}[^\w]*$"), (("cp1251", "koi8_r"), ("koi8_r", "cp1251"))),
+    (re.compile(r"[A-Za-z][а-яА-ЯёЁ]{1,2}[a-z]"), (("cp1251", "cp1252"),)),
+)
+_NATURAL_CYRILLIC = re.compile(r"^[^\w]*(?:[А-ЯЁ]?[а-яё-]+|[А-ЯЁ-]+)[^\w]*$")
+_COMMON_CYRILLIC = frozenset("оеаинтсрвл")
+
+
+def _read(word: str, shown: str, true: str) -> str | None:
+    """A word's bytes in the code page it was shown with, read with another."""
+    table = to_bytes(shown)
+    try:
+        return bytes(table[c] if c >= "\x80" else ord(c) for c in word).decode(true)
+    except (KeyError, UnicodeDecodeError):
+        return None
+
+
+def _cyrillic(text: str) -> str:
+    """Where Cyrillic letters were lost to or made of another code page's bytes, the reading with most of the letters that Russian uses most."""
+    for odd, pairs in _ODD_CYRILLIC:
+        words = [w for w in _WORD.findall(text) if odd.search(w)]
+        best, most = text, 0.0
+        for shown, true in pairs if words else ():
+            natural = _NATURAL if true == "cp1252" else _NATURAL_CYRILLIC
+            turned = {w: _read(w, shown, true) for w in words}
+            if all(t and natural.match(t) for t in turned.values()):
+                if true != "cp1252":  # short words of the text follow the long ones
+                    turned |= {w: t for w in _WORD.findall(text) if w not in turned and not w.isascii() and (t := _read(w, shown, true)) and natural.match(t)}
+                letters = [c for t in turned.values() for c in t.lower() if c.isalpha()]
+                share = 1.0 if true == "cp1252" else sum(c in _COMMON_CYRILLIC for c in letters) / len(letters)
+                if share > max(most, 0.4):
+                    best, most = _WORD.sub(lambda m, to=turned: to.get(m[0]) or m[0], text), share
+        if best != text:
+            return best
+    return text
+
+
 def _single_byte(text: str) -> str:
     """Words with letters no language puts there, read with another code page where all of them turn into natural words."""
     odd = [w for w in _WORD.findall(text) if _MIXED.search(w)]
     if not odd:
         return text
     for shown, true in SINGLE_BYTE:
-        table = to_bytes(shown)
-
-        def read(word: str, table=table, true=true) -> str | None:
-            try:
-                return bytes(table[c] if c >= "\x80" else ord(c) for c in word).decode(true)
-            except (KeyError, UnicodeDecodeError):
-                return None
-
-        turned = {w: read(w) for w in odd}
+        turned = {w: _read(w, shown, true) for w in odd}
         if all(t and _NATURAL.match(t) for t in turned.values()):
-            others = {w: read(w) for w in _WORD.findall(text) if w not in turned and not w.isascii()}
+            others = {w: _read(w, shown, true) for w in _WORD.findall(text) if w not in turned and not w.isascii()}
             better = {w: t for w, t in others.items() if t and _NATURAL.match(t) and not _NATURAL.match(w) or t and len(w) == 1 and t.isalpha()}
             return _WORD.sub(lambda m: (turned | better).get(m[0]) or m[0], text)
     return text
@@ -158,12 +197,13 @@ def repair(text: str | None) -> tuple[bool, str | None]:
     if text is None or text.isascii() and "&" not in text:
         return False, text
     plain = _REFERENCE.sub(_character, text) if "&" in text else text
-    now = plain
-    for _ in range(ROUNDS):
-        then = _utf8_round(now)
-        if then == now:
-            break
-        now = then
+    now = _cyrillic(plain)
+    if now == plain:
+        for _ in range(ROUNDS):
+            then = _utf8_round(now)
+            if then == now:
+                break
+            now = then
     if now == plain:
         now = _single_byte(plain)
     found = now != plain or REPLACEMENT in plain

@@ -74,6 +74,22 @@ def test_garbled_references(spark, shown, text):
     assert [(r["restored"], r["is_restored"]) for r in got] == ([(text, True)] if text else [])
 
 
+@pytest.mark.parametrize("shown, true, text", [("cp1252", "cp1251", "Почему проект описывает рынок"), ("cp1251", "koi8_r", "Почему проект описывает рынок"), ("koi8_r", "cp1251", "Почему проект описывает рынок"), ("cp1251", "cp1252", "Die Führung in Soürierk, größer")])
+def test_misread_single_bytes_of_cyrillic(shown, true, text):
+    assert mojibake.repair(text.encode(true).decode(shown)) == (True, text)
+
+
+@pytest.mark.parametrize("text", ["Good 😀 news", "Cafe\u0301 man\u0303ana", "a 👍🏽 b"])
+def test_four_bytes_and_combining_marks(text):
+    shown = "".join({b: c for c, b in mojibake.to_bytes("cp1252").items()}[b] if b > 127 else chr(b) for b in text.encode())
+    assert mojibake.repair(shown) == (True, text)
+
+
+@pytest.mark.parametrize("text", ["“SÍ” dijo, AQUÍ… y ‘ALLÍ’", "Почему IT-отдел и ВУЗы", "iPhone и кВт, Cтрока", "Good 😀 news", "Cafe\u0301"])
+def test_correct_marks_and_cyrillic_are_no_case(text):
+    assert mojibake.repair(text) == (False, text)
+
+
 def test_lost_reference():
     assert mojibake.repair("el &#65533;rbol &#xFFFD;") == (True, "el �rbol �")
 
