@@ -77,9 +77,14 @@ _SLOT_SIGNS = re.compile(r"[{\[%@]|__")
 _UNSET_SIGNS = ("NaN", "null", "undefined", "None", "[object")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _WORD = re.compile(r"[^\W\d_]+")
-#: A line whose message is longer than this is a text about it.
+#: A sentence longer than this is a message only if its opening names a status, scripts or cookies and it speaks to the reader.
 MAX_MESSAGE_WORDS = 14
-MAX_OPENING_WORDS = 10
+_NAMED = re.compile(rf"\b{_STATUS}\b|script|cookie|\bjs\b|скрипт", re.I)
+_TO_READER = re.compile(r"\b(?:please|you|your|bitte|sie|ihr\w*|veuillez|vous|votre|vos|por\s+favor|usted|su|você|seu|пожалуйста|вы|ваш\w*|вам)\b", re.I)
+
+
+def _long_message(opening: re.Match | None, sentence: str) -> bool:
+    return opening is not None and _NAMED.search(opening[0]) is not None and _TO_READER.search(sentence) is not None and not ABOUT.search(sentence)
 
 
 def _mock_latin(words: list[str]) -> bool:
@@ -108,6 +113,10 @@ def evidence(lines: list[str]) -> str | None:
                     return "error"
                 if DEMAND.match(sentence):
                     return "demand"
+            elif _long_message(ERROR.match(sentence), sentence) and not CODE.search(line):
+                return "error"
+            elif _long_message(DEMAND.match(sentence), sentence):
+                return "demand"
         low = line.lower()
         if any(x in low for x in _LATIN_SIGNS) and _mock_latin(_WORD.findall(low)):
             return "filler"

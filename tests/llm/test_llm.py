@@ -149,6 +149,21 @@ def test_evidence(line, kind):
     assert residue.evidence([line]) == kind
 
 
+@pytest.mark.parametrize(
+    "line, kind",
+    [
+        ("Please enable JavaScript and cookies in your browser settings in order to go on to the page that you have asked for today.", "demand"),
+        ("Bitte aktivieren Sie JavaScript in den Einstellungen Ihres Browsers, damit wir Ihnen den Inhalt dieser Seite zeigen können, den Sie suchen.", "demand"),
+        ("404 Not Found: the page that you asked for was moved or removed by its owner some time ago, so go back and try again.", "error"),
+        ("JavaScript is needed for the map, Menav says, because the server that once drew it was switched off in the spring of last year.", None),
+        ("Your browser does not matter to the weather pages of Menav, which are built by the server and read the same on any machine.", None),
+        ("Our log counted 616 pages that asked readers to enable cookies, and you can see from the table where most of those visitors came from.", None),
+    ],
+)
+def test_evidence_of_long_sentences(line, kind):
+    assert residue.evidence([line]) == kind
+
+
 def test_residue_table(spark):
     docs = spark.createDataFrame([(1, "s", "fine\n404 Not Found", "x", "y", 1), (2, None, "{{ x }}", "x", "y", 1), (3, "s", None, None, None, 1), (4, "s", "word " * 200_000 + "\nfine", "x", "y", 1), (None, "s", "{{ x }}", "", "", 1)], DOCS)
     assert {(r["doc_id"], r["kind"]) for r in residue.residue(docs).collect()} == {(1, "error"), (2, "slot")}
