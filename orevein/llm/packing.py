@@ -1,8 +1,8 @@
-"""Documents into containers of fixed capacity (problem 8): hierarchical packing over tiers of lengths.
+"""Documents into containers of fixed capacity (problem 8): hierarchical packing, one tier per length.
 
-A document longer than the capacity is cut into full containers and a rest; nothing else is ever split. Items are routed to tiers by
-length (above a half of the capacity, a quarter, an eighth and so on). The longest tier opens containers, each gap is filled from
-the shorter tiers, the longest item that fits first, until nothing fits; then the next tier opens containers with what it has left. The
+A document longer than the capacity is cut into full containers and a rest; nothing else is ever split. The longest item left opens a
+container, and its gap is filled with the longest item that fits, until nothing fits: tiers of lengths in the limit case of one tier per
+length. ``tier`` (above a half of the capacity, a quarter, an eighth and so on) is a label and does not steer the packing. The
 containers are dealt to step groups so that groups hold about the same number of tokens.
 
 Scale: token counts are made once and written to a table. Items are spread over shards by a hash, so each shard has the mix of
@@ -30,6 +30,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 SHARD_ITEMS = 20_000
 #: Containers in a step group.
 GROUP_CONTAINERS = 8
+#: The label of the shortest items.
 TIERS = 6
 
 
