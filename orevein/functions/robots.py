@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import facts_join
 from .urls import url_host, url_path
 
 #: The crawler's own name in robots files; give the one in use.
@@ -50,19 +49,13 @@ def parse_robots(files: DataFrame, agent: str = AGENT) -> DataFrame:
 def allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """``urls`` with a column ``allowed``.
 
-    ``rules``: ``(base, kind, pattern)``. The longest matching pattern decides, a tie forbids, no match allows. Rows are keyed
-    by url before the join, so a host with many pages is a plain equi-join and never gathered.
+    ``rules``: ``(base, kind, pattern)``. The longest matching pattern decides, a tie forbids, no match allows. A host's rules are folded to one
+    row; a host with a third of all pages is joined with it by broadcast or salt, and each page decides for itself.
     """
     keyed = urls.withColumn("_base", url_host(F.col(url))).withColumn("_path", url_path(F.col(url)))
-    distinct = keyed.select(url, "_base", "_path").distinct()
-    hits = distinct.join(rules, distinct["_base"] == rules["base"]).where(F.expr("_path rlike concat('^(?:', pattern, ')$')"))
-    best = hits.groupBy(url).agg(
-        F.max(F.struct(F.length("pattern").alias("n"), (F.col("kind") == "disallow").cast("int").alias("no"))).alias("best")
-    )
-    return keyed.drop("_base", "_path").join(best, url, "left").withColumn("allowed", F.coalesce(F.col("best.no") == 0, F.lit(True))).drop("best")
-
-
-def rule_regex_text(rule: str) -> str:
-    """``rule_regex`` of one string, for small rule sets made on the driver."""
-    wild = re.sub(r"([\\.\[\](){}+?^|])", r"\\\1", rule).replace("*", ".*")
-    return "^" + (wild if wild.endswith("$") or wild.endswith(".*") else wild + ".*")
+    folded = rules.where("base is not null").groupBy(F.col("base").alias("_base")).agg(F.collect_set(F.struct("kind", "pattern")).alias("_rules"))
+    joined = facts_join(keyed, folded, "_base")
+    # Catalyst has no lambda form of rlike with a pattern per element but in SQL text
+    hits = F.expr("filter(_rules, r -> _path rlike concat('^(?:', r.pattern, ')$'))")
+    best = F.array_max(F.transform(hits, lambda r: F.struct(F.length(r["pattern"]).alias("n"), (r["kind"] == "disallow").cast("int").alias("no"))))
+    return joined.withColumn("_no", best["no"]).withColumn("allowed", F.coalesce(F.col("_no") == 0, F.lit(True))).select(*urls.columns, "allowed")

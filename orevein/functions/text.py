@@ -17,10 +17,6 @@ STOP_WORDS = tuple(
 )
 
 
-def _stop_array(stop: Iterable[str]) -> Column:
-    return F.array(*[F.lit(w) for w in sorted(set(stop))]) if stop else F.array().cast("array<string>")
-
-
 def tokens(text: Column, stop: Iterable[str] = STOP_WORDS) -> Column:
     """Lower-case words of ``text`` in order: split at runs of non-ASCII-word characters, empties and stop words dropped."""
     stop = sorted(set(stop))

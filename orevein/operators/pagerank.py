@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, release
 
 DAMPING, THRESHOLD, MAX_ROUNDS = 0.85, 1e-5, 100
 
@@ -25,28 +26,43 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, thres
     """``(id, page_rank)`` by power iteration from 1/n, the mass of dangling nodes spread over all.
 
     Stops when no rank moves by ``threshold`` and then gives the ranks of the round before, or after ``max_rounds``. Edges from or to unknown
-    nodes are left out. A round is one join by source and one aggregation by target that combines on the map side, so
-    a target with very many links is no burden; its ranks are written to the shared folder, which also ends the lineage.
+    nodes are left out. Jobs run when this is called.
+
+    The edges, the largest table, are moved once: they stay on the executors, partitioned by source, and what an executor loses is made again
+    from their table in the shared folder. A round moves the ranks by id and the gifts by target, which combine on the map side, so a target
+    with very many links is no burden, and writes the new ranks, which ends the lineage. The two numbers that the driver needs, the mass
+    of dangling nodes and the greatest move, are observed while writing; the table of the round before the last is removed.
     """
     nodes = nodes.select("id").distinct()
+    spark = nodes.sparkSession
     known = edges.join(nodes, edges["source"] == nodes["id"], "left_semi").join(nodes, edges["target"] == nodes["id"], "left_semi").select("source", "target")
-    graph = cut(known.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")), "edges")
-    degrees = graph.groupBy("source").agg(F.sum("n").alias("out_degree"))
+    stored = cut(known.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")), "edges")
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("page_rank"))
+    graph = stored.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source").persist(StorageLevel.MEMORY_AND_DISK)
+    degrees = graph.groupBy("source").agg(F.sum("n").alias("out_degree"))
+
+    def written(state: DataFrame) -> tuple[DataFrame, float, float]:
+        seen = Observation()
+        mass = F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("rank"))), F.lit(0.0))
+        table = cut(state.observe(seen, mass.alias("mass"), F.max(F.abs(F.col("rank") - F.col("before"))).alias("moved")), "ranks")
+        return table, seen.get["mass"], seen.get["moved"]
+
     start = nodes.join(degrees, nodes["id"] == degrees["source"], "left").select("id", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.lit(1.0 / n).alias("rank"), F.lit(1.0 / n).alias("before"))
-    state = cut(start, "ranks")
-    # two numbers per round come to the driver: the mass of dangling nodes, for the next round, and the greatest move
-    facts = [F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("rank"))), F.lit(0.0)), F.max(F.abs(F.col("rank") - F.col("before")))]
-    loose = state.agg(*facts).first()[0]
-    for _ in range(max_rounds):
-        given = graph.join(state, graph["source"] == state["id"]).select("target", (F.col("n") * F.col("rank") / F.col("out_degree")).alias("gift"))
-        gifts = given.groupBy("target").agg(F.sum("gift").alias("gift"))
-        rank = F.lit((1 - damping) / n) + damping * (F.coalesce("gift", F.lit(0.0)) + F.lit(loose / n))
-        moved = state.join(gifts, state["id"] == gifts["target"], "left").select("id", "out_degree", rank.alias("new"), F.col("rank").alias("before"))
-        state = cut(moved.withColumnRenamed("new", "rank"), "ranks")
-        loose, moved_by = state.agg(*facts).first()
-        if moved_by < threshold:
-            return state.select("id", F.col("before").alias("page_rank"))
-    return state.select("id", F.col("rank").alias("page_rank"))
+    try:
+        state, loose, _ = written(start)
+        for _ in range(max_rounds):
+            given = graph.join(state, graph["source"] == state["id"]).select("target", (F.col("n") * F.col("rank") / F.col("out_degree")).alias("gift"))
+            gifts = given.groupBy("target").agg(F.sum("gift").alias("gift"))
+            rank = F.lit((1 - damping) / n) + damping * (F.coalesce("gift", F.lit(0.0)) + F.lit(loose / n))
+            moved = state.join(gifts, state["id"] == gifts["target"], "left").select("id", "out_degree", rank.alias("rank"), F.col("rank").alias("before"))
+            old = state
+            state, loose, moved_by = written(moved)
+            release(old)
+            if moved_by < threshold:
+                return state.select("id", F.col("before").alias("page_rank"))
+        return state.select("id", F.col("rank").alias("page_rank"))
+    finally:
+        graph.unpersist()
+        release(stored)

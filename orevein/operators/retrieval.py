@@ -6,6 +6,8 @@ description, document_size, page_rank)`` and idf ``(word, idf)``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,23 +70,44 @@ def phrase_scores(terms: list[str], postings: DataFrame, documents: DataFrame, i
 
 
 def boolean_rank(phrases: list[list[str]], operators: list[int], postings: DataFrame, documents: DataFrame, idf: DataFrame) -> DataFrame:
-    """Phrases folded from the left by AND, OR and NOT; a document's score is that of the first phrase that it holds."""
+    """Phrases folded from the left by AND, OR and NOT; a document's score is that of the first phrase that it holds.
+
+    One aggregation by document gathers its hits of the query's words (no more than the document, which was one row when it was indexed); which
+    phrases it holds and how they score are expressions over that row, the fold is a boolean one, and documents are joined once.
+    """
     if not phrases:
         return blended(_none(postings).select("doc_id", F.lit(0.0).alias("tf_idf")), documents)
-    scores = [phrase_scores(p, postings, documents, idf) for p in phrases]
-    kept = scores[0].select("doc_id")
-    for i, score in enumerate(scores[1:]):
-        other = score.select("doc_id")
+    terms = list(dict.fromkeys(w for p in phrases for w in p))
+    hits = of_words(postings, terms).join(idf.select("word", "idf"), "word", "left")
+    hit = F.struct("word", "section", "position", section_weight(F.col("section"), SECTION_WEIGHTS).alias("weight"), F.coalesce("idf", F.lit(1.0)).alias("idf"))
+    rows = hits.groupBy("doc_id").agg(F.collect_set(hit).alias("_hits"))
+    of = lambda w: F.filter("_hits", lambda h: h["word"] == w)
+    zero = F.lit(0.0)
+    score = {w: F.aggregate(of(w), zero, lambda a, h: a + h["weight"]) * F.coalesce(F.array_max(F.transform(of(w), lambda h: h["idf"])), zero) for w in terms}
+
+    def starts(word: str, i: int) -> Column:
+        """Places, section and position together, where the phrase would have to begin."""
+        return F.transform(of(word), lambda h: F.concat_ws(":", h["section"], h["position"] - i))
+
+    def found(phrase: list[str]) -> Column:
+        both = starts(phrase[0], 0)
+        for i, w in enumerate(phrase[1:], 1):
+            both = F.array_intersect(both, starts(w, i))
+        return F.size(both) > 0
+
+    names = [f"_p{i}" for i in range(len(phrases))]
+    rows = rows.select("doc_id", *[found(p).alias(n) if p else F.lit(False).alias(n) for p, n in zip(phrases, names, strict=True)], *[score[w].alias(f"_w{i}") for i, w in enumerate(terms)])
+    at = {w: F.col(f"_w{i}") for i, w in enumerate(terms)}
+    kept, total = F.col(names[0]), F.lit(None).cast("double")
+    for i, name in enumerate(names[1:]):
         op = operators[i] if i < len(operators) else 0
-        if op == OR:
-            kept = kept.unionByName(other).distinct()
-        else:
-            kept = kept.join(other, "doc_id", "left_anti" if op == NOT else "left_semi")
-    every = scores[0].withColumn("i", F.lit(0))
-    for i, score in enumerate(scores[1:], 1):
-        every = every.unionByName(score.withColumn("i", F.lit(i)))
-    first = every.groupBy("doc_id").agg(F.min_by("tf_idf", "i").alias("tf_idf"))
-    return blended(first.join(kept, "doc_id", "left_semi"), documents)
+        kept = kept | F.col(name) if op == OR else kept & ~F.col(name) if op == NOT else kept & F.col(name)
+    for phrase, name in list(zip(phrases, names, strict=True))[::-1]:
+        parts = [at[w] for w in dict.fromkeys(phrase)]
+        total = F.when(F.col(name), sum(parts[1:], parts[0]) if parts else zero).otherwise(total)
+    sized = documents.where("document_size > 0").select("doc_id", "url", "title", "description", "page_rank", "document_size")
+    scored = rows.where(kept & total.isNotNull()).select("doc_id", total.alias("total")).join(sized, "doc_id").withColumn("tf_idf", F.round(F.col("total") / F.col("document_size"), 9))
+    return scored.withColumn("final_score", final_score(F.col("tf_idf"), F.col("page_rank"))).select("doc_id", "url", "title", "description", "tf_idf", "final_score")
 
 
 def ordered(ranked: DataFrame) -> DataFrame:
@@ -95,10 +118,25 @@ def result_page(ranked: DataFrame, page: int = 1, per_page: int = 10) -> DataFra
     """One page of results with their place; empty beyond the end."""
     if page < 1 or per_page < 1:
         raise ValueError("page and per_page start at 1")
-    top = ordered(ranked).limit(page * per_page)
-    # at most page * per_page rows are left, so one task may number them
-    placed = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("final_score"), "doc_id")))
-    return placed.where(F.col("place") > (page - 1) * per_page)
+    top = ordered(ranked).offset((page - 1) * per_page).limit(per_page)
+    # the per_page rows that are left may be numbered by one task
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("final_score"), "doc_id")) + F.lit((page - 1) * per_page))
+
+
+def full_text_match(content: DataFrame, terms: list[str]) -> DataFrame:
+    """``(doc_id)`` of the full texts ``(doc_id, content)`` that hold any of the terms as a token.
+
+    Tokens are runs of letters and digits of any script, in lower case. Terms without a letter or digit match nothing.
+    """
+    words = sorted({t for term in terms for t in re.findall(r"[^\W_]+", term.lower())})
+    if not words:
+        return content.where(F.lit(False)).select("doc_id")
+    return content.where(F.lower("content").rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(words) + r")(?![\p{L}\p{N}])")).select("doc_id")
+
+
+def candidates(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """Postings of the documents that the full-text prefilter found."""
+    return postings.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def totals(ranked: DataFrame, per_page: int = 10) -> DataFrame:

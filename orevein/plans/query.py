@@ -38,6 +38,7 @@ class Query:
         return list(dict.fromkeys(w for p in shown for w in p.split()))
 
     def cache_key(self) -> tuple:
+        """Equal for queries that rank the same, whatever their spacing and case."""
         return self.tokens, self.phrases, self.operators
 
 

@@ -1,47 +1,5 @@
-"""Explicit schemas of the stored tables."""
+"""Fixed values of the ranking."""
 
-from pyspark.sql import types as T
-
-DOCUMENTS = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("url", T.StringType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("description", T.StringType()),
-        T.StructField("file_path", T.StringType()),
-        T.StructField("document_hash", T.StringType()),
-        T.StructField("crawl_time", T.TimestampNTZType()),
-        T.StructField("index_time", T.TimestampNTZType()),
-        T.StructField("page_rank", T.DoubleType()),
-        T.StructField("document_size", T.LongType()),
-    ]
-)
-WORDS = T.StructType(
-    [
-        T.StructField("word", T.StringType()),
-        T.StructField("word_count", T.LongType()),
-        T.StructField("df", T.LongType()),
-        T.StructField("idf", T.DoubleType()),
-        T.StructField("stem", T.StringType()),
-    ]
-)
-POSTINGS = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("word", T.StringType()),
-        T.StructField("position", T.IntegerType()),
-        T.StructField("section", T.StringType()),
-    ]
-)
-LINKS = T.StructType([T.StructField("source_document_id", T.LongType()), T.StructField("target_url", T.StringType())])
-FRONTIER = T.StructType(
-    [T.StructField("status", T.StringType()), T.StructField("url", T.StringType()), T.StructField("depth", T.IntegerType())]
-)
-ELEMENTS = T.ArrayType(
-    T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("text", T.StringType())])
-)
-
-SECTIONS = ("title", "header", "body")
 #: Weight of a hit by section; any other section weighs 1.
 SECTION_WEIGHTS = {"title": 2.0, "header": 1.5, "body": 1.0}
 TFIDF_SHARE, PAGE_RANK_SHARE = 0.7, 0.3

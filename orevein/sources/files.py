@@ -15,13 +15,18 @@ def seeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def frontier_log(spark: SparkSession, path: str) -> DataFrame:
-    """``(status, url, depth)`` from lines such as ``U_http://example.com 0``; U is pending, V visited; bad lines are passed over."""
+    """``(status, url, depth, ord)`` from lines such as ``U_http://example.com 0``; U is pending, V visited; bad lines are passed over.
+
+    ``ord`` grows with the place in the log (files in the order of their names), so the oldest entry has the least.
+    """
     part = lambda i: F.regexp_extract("value", r"^([UV])_(.*) (\d+)$", i)
-    return spark.read.text(path).select(part(1).alias("status"), normalize(part(2)).alias("url"), part(3).cast("int").alias("depth")).where("status <> '' and url is not null")
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ord"))
+    return lines.select(part(1).alias("status"), normalize(part(2)).alias("url"), part(3).cast("int").alias("depth"), "ord").where("status <> '' and url is not null")
 
 
 def write_frontier(frontier: DataFrame, path: str) -> None:
-    frontier.select(F.concat(F.col("status"), F.lit("_"), F.col("url"), F.lit(" "), F.col("depth"))).write.mode("overwrite").text(path)
+    rows = frontier.orderBy("ord") if "ord" in frontier.columns else frontier
+    rows.select(F.concat(F.col("status"), F.lit("_"), F.col("url"), F.lit(" "), F.col("depth"))).write.mode("overwrite").text(path)
 
 
 def stop_words(spark: SparkSession, path: str) -> list[str]:
@@ -30,7 +35,7 @@ def stop_words(spark: SparkSession, path: str) -> list[str]:
 
 
 def page_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(file_path, html)`` of stored HTML files, one row per file."""
+    """``(file_path, html)`` of stored HTML files, one row per file; empty files give none."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_path"), F.col("value").alias("html"))
 
 

@@ -116,8 +116,14 @@ def test_crawl(spark):
     after = crawl.offer(frontier, new)
     assert sorted((r["status"], r["url"]) for r in after.collect()) == [("U", "http://b.com"), ("U", "http://example.com"), ("V", "http://seen.com")]
     assert crawl.offer(frontier, new, cap=1).count() == 2
-    polled = crawl.poll(after, spark.createDataFrame([("http://b.com",)], "url string"))
+    polled = crawl.visit(after, spark.createDataFrame([("http://b.com",)], "url string"))
     assert polled.where("status = 'V'").count() == 2
+    log = frontier.withColumn("ord", F.monotonically_increasing_id())
+    grown = crawl.offer(log, new)
+    taken, rest = crawl.poll(grown, 1)
+    assert [r["url"] for r in taken.collect()] == ["http://example.com"] and [r["url"] for r in crawl.poll(rest, 5)[0].collect()] == ["http://b.com"]
+    assert crawl.poll(crawl.poll(rest, 5)[1], 5)[0].count() == 0
+    assert crawl.seeded(log, new).count() == 2 and crawl.seeded(log.where("1 = 0"), new).count() == 2 and crawl.offer(log, new, cap=None).count() == 3
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (1, 3)], "source long, target long")
     got = {r["id"]: r["depth"] for r in crawl.waves(spark.createDataFrame([(1,)], "id long"), edges, 2).collect()}
     assert got == {1: 0, 2: 1, 3: 1, 4: 2}
@@ -128,12 +134,91 @@ def test_crawl(spark):
     assert sorted(r["url"] for r in crawl.distinct_content(pages).collect()) == ["u1", "u3"]
 
 
+def _page(title, *links, text=""):
+    return f"<title>{title}</title><h1>{title}</h1><p>{text or title} text</p>" + "".join(f'<a href="{x}">x</a>' for x in links)
+
+
+def test_crawl_over_stored_pages(spark):
+    pages = [
+        ("http://a.example/", _page("Home", "one", "/two?utm_source=x", "/private/p", "/gone", "/old", "mailto:m@a.example", "http://b.example/z")),
+        ("http://a.example/one", _page("One", "deep/three", "/")),
+        ("http://a.example/two", _page("One", "deep/three", "/")),
+        ("http://b.example/z", _page("Z", text="zz")),
+        ("http://a.example/deep/three", _page("Three", "four")),
+        ("http://a.example/deep/four", _page("Four")),
+        ("http://a.example/private/p", _page("P")),
+        ("http://a.example/old", _page("Old")),
+    ]
+    store = spark.createDataFrame(pages, "url string, html string")
+    docs = spark.createDataFrame([("http://a.example/old", None)], "url string, document_hash string")
+    rules = spark.createDataFrame([("http://a.example", "disallow", "^/private/.*")], "base string, kind string, pattern string")
+    seeds = spark.createDataFrame([("http://A.example/", 0), (None, 0), ("nonsense", 0)], "url string, depth int")
+    got = {r["url"]: (r["depth"], r["status"]) for r in crawl.crawl(seeds, store, docs, rules, max_depth=2).collect()}
+    assert got == {
+        "http://a.example": (0, "saved"), "http://a.example/one": (1, "saved"), "http://a.example/two": (1, "duplicate"), "http://a.example/private/p": (1, "disallowed"),
+        "http://a.example/gone": (1, "missing"), "http://a.example/old": (1, "stored"), "http://b.example/z": (1, "saved"), "http://a.example/deep/three": (2, "saved"),
+    }
+    few = crawl.crawl(seeds, store, docs, rules, max_depth=9, max_pages=2)
+    assert few.where("status = 'saved'").count() == 3 and few.agg(F.max("depth")).first()[0] == 1
+    new = crawl.stored_documents(few, "/data/html/")
+    assert sorted(r["title"] for r in new.collect()) == ["Home", "One", "Z"] and new.where("file_path like '/data/html/%.html'").count() == 3
+    assert crawl.crawl(seeds.where("1 = 0"), store, docs, rules).count() == 0
+
+
+def test_skewed_joins_and_numbers(spark, monkeypatch):
+    from orevein.operators import skew
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 50}") for i in range(3000)] + [(9000 + i, None) for i in range(50)], "id long, key string")
+    facts = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i + 2) for i in range(0, 50, 2)], "key string, fact int")
+    plain = sorted(map(tuple, rows.join(facts, "key", "left").collect()), key=str)
+    for bound in (1 << 40, 0):
+        assert sorted(map(tuple, skew.facts_join(rows, facts, "key", broadcast_bytes=bound).collect()), key=str) == plain
+        assert skew.facts_join(rows, facts, "key", "inner", bound).count() == rows.join(facts, "key").count()
+    got = skew.numbered(rows.where("key is not null"), "id", "n").orderBy("id").collect()
+    assert [r["n"] for r in got] == list(range(3000)) and skew.numbered(rows.where("1 = 0"), "id").count() == 0
+
+
+def test_write_back(spark):
+    docs = spark.createDataFrame([(1, "http://a.example/p", "old", None, None, None, 0.0, 0), (2, "http://a.example/q", "t", "d", None, None, None, 0)], "doc_id long, url string, title string, description string, crawl_time timestamp_ntz, index_time timestamp_ntz, page_rank double, document_size long")
+    pages = spark.createDataFrame([(1, _page("Running Home", "/x", "y", "", "javascript:z", "/x"))], "doc_id long, html string")
+    corpus = index.corpus_from_pages(pages)
+    post = index.build_postings(corpus)
+    after = {r["doc_id"]: r for r in index.described(index.sized(docs, post), corpus).collect()}
+    assert after[1]["document_size"] == post.count() and after[1]["index_time"] is not None and after[1]["title"] == "Running Home"
+    assert after[2]["document_size"] == 0 and after[2]["index_time"] is None and after[2]["title"] == "t"
+    ranks = spark.createDataFrame([(1, 0.7)], "id long, page_rank double")
+    assert {r["doc_id"]: r["page_rank"] for r in index.ranked(docs, ranks).collect()} == {1: 0.7, 2: None}
+    assert sorted(r["target_url"] for r in index.link_rows(corpus, docs).collect()) == ["http://a.example/p", "http://a.example/x", "http://a.example/y"]
+    new = index.inserted(docs, docs.where("1 = 0").drop("crawl_time").unionByName(spark.createDataFrame([(3, "u", "t", "d", None, None, 0)], docs.drop("crawl_time").schema)))
+    assert new.where("doc_id = 3 and crawl_time is not null").count() == 1
+    words = spark.createDataFrame([(5, "home", 10, 1.5, "home")], "word_id long, word string, word_count long, idf double, stem string")
+    grown = {r["word"]: (r["word_id"], r["word_count"], r["idf"], r["stem"]) for r in index.upserted_vocabulary(words, index.word_counts(post)).collect()}
+    assert grown["home"][:3] == (5, 13, 1.5) and grown["running"] == (6, 3, 0.0, "run") and grown["text"][0] == 7
+    coded = index.coded_postings(post, index.upserted_vocabulary(words, index.word_counts(post)))
+    assert coded.count() == post.count()
+
+
+def test_full_text_prefilter(spark):
+    corpus = spark.createDataFrame([(1, "Big", "Small", [(0, "p", "page-search here")]), (2, None, None, None), (3, "research", "", [])], "doc_id long, title string, description string, elements array<struct<ord:int,tag:string,text:string>>")
+    text = index.full_text(corpus)
+    assert {r["doc_id"]: r["content"] for r in text.collect()} == {1: "Big Smallpage-search here", 2: " ", 3: "research "}
+    found = lambda *terms: sorted(r[0] for r in retrieval.full_text_match(text, list(terms)).collect())
+    assert found("search") == [1] and found("SEARCH", "research") == [1, 3] and found("") == [] and found("sear") == []
+    post = spark.createDataFrame([(1, "search", 0, "body"), (3, "search", 0, "body")], "doc_id long, word string, position int, section string")
+    assert [r["doc_id"] for r in retrieval.candidates(post, retrieval.full_text_match(text, ["search"])).collect()] == [1]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "seeds").write_text("http://example.com 0\nhttp://example.org 0\nbroken\n")
     assert files.seeds(spark, str(tmp_path / "seeds")).count() == 2
     (tmp_path / "log").write_text("U_http://example.com 0\nV_http://second.com 1\nnonsense\nU_not a url 2\n")
     log = files.frontier_log(spark, str(tmp_path / "log"))
     assert sorted((r["status"], r["url"], r["depth"]) for r in log.collect()) == [("U", "http://example.com", 0), ("V", "http://second.com", 1)]
+    pages = tmp_path / "stored"
+    pages.mkdir()
+    (pages / "a.html").write_text("<p>one\ntwo</p>")
+    (pages / "b.html").write_text("")
+    assert sorted((r["file_path"][-6:], r["html"]) for r in files.page_files(spark, str(pages)).collect()) == [("a.html", "<p>one\ntwo</p>")]
     files.write_frontier(log, str(tmp_path / "out"))
     assert files.frontier_log(spark, str(tmp_path / "out")).count() == 2
     (tmp_path / "stop").write_text("the\n\n a \n")
@@ -155,6 +240,12 @@ def test_engine(spark, data):
     assert engine.search("").results == [] and engine.search("page search", page=9999).results == []
     assert len(engine.cache.kept) == 2
     assert SearchEngine.over(spark, data, match="stem").rank("pages").count() >= engine.rank("pages").count()
+    # the vocabulary's stems are not all Porter's: a word always finds itself
+    assert SearchEngine.over(spark, data, match="stem").rank("query archive").count() >= engine.rank("query archive").count() > 0
+    text = index.full_text(index.corpus_from_documents(spark.read.parquet(f"{data}/documents.parquet")))
+    assert SearchEngine.over(spark, data, full_text=text).rank("kitchen storm").count() > 0
+    with pytest.raises(ValueError):
+        engine.search("page search", page=0)
 
 
 def test_cache():
