@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..session import cut, release
 
 DAMPING, THRESHOLD, MAX_ROUNDS = 0.85, 1e-5, 100
+#: Rounds that run as one plan.
+BATCH = 8
 
 
 def resolve_links(links: DataFrame, documents: DataFrame) -> DataFrame:
@@ -22,47 +24,81 @@ def out_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(degrees, nodes["id"] == degrees["source"], "left").select("id", F.coalesce("n", F.lit(0)).alias("out_degree"))
 
 
+def _walk(start: DataFrame, graph: DataFrame, rounds: int, damping: float) -> DataFrame:
+    """``start`` ``(id, v0)`` with ``v1`` and so on: what each node is given by its links, round after round, in one plan.
+
+    A node sends itself what it has so far and every target its gift, and the sums are grouped by id: one exchange a round, in which gifts combine on
+    the map side. The graph stays where it is, partitioned as the sums are.
+    """
+    # written as SQL text: a column object for each term would take longer to make than the plan to run
+    state = start
+    for j in range(rounds):
+        kept = [f"v{i}" for i in range(j + 1)]
+        itself = ", ".join(f"'{v}', {v}" for v in kept)
+        none = ", ".join(f"'{v}', CAST(NULL AS DOUBLE)" for v in kept)
+        sent = f"transform(coalesce(targets, array()), t -> named_struct('id', t.target, {none}, 'gift', t.n * {damping!r}D * v{j} / degree))"
+        rows = state.join(graph, "id").selectExpr(f"inline(concat(array(named_struct('id', id, {itself}, 'gift', 0.0D)), {sent}))")
+        state = rows.groupBy("id").agg(F.expr(f"sum(gift) AS v{j + 1}"), *[F.expr(f"max({v}) AS {v}") for v in kept])
+    return state
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, threshold: float = THRESHOLD, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """``(id, page_rank)`` by power iteration from 1/n, the mass of dangling nodes spread over all.
 
     Stops when no rank moves by ``threshold`` and then gives the ranks of the round before, or after ``max_rounds``. Edges from or to unknown
-    nodes are left out. Jobs run when this is called.
+    nodes are left out, ids are integers. Jobs run when this is called.
 
-    The edges, the largest table, are moved once: they stay on the executors, partitioned by source, and what an executor loses is made again
-    from their table in the shared folder. A round moves the ranks by id and the gifts by target, which combine on the map side, so a target
-    with very many links is no burden, and writes the new ranks, which ends the lineage. The two numbers that the driver needs, the mass
-    of dangling nodes and the greatest move, are observed while writing; the table of the round before the last is removed.
+    A round adds to what links give the same number for every node, which hangs on the dangling mass of the round before. Both parts are
+    linear, so ``BATCH`` rounds of gifts run as one plan without those numbers, once from the ranks and, in the first batch, from ones; the masses are
+    observed while the batch is written, the numbers follow from them, and any round's ranks are sums over the two tables. So the driver takes part, and a
+    table ends the lineage, once a batch. The graph is moved once: a row per node with its links (no more than its page holds)
+    stays on the executors, and what an executor loses is made again from its table in the shared folder.
     """
-    nodes = nodes.select("id").distinct()
+    nodes = nodes.select(F.col("id").cast("long").alias("id")).distinct()
     spark = nodes.sparkSession
-    known = edges.join(nodes, edges["source"] == nodes["id"], "left_semi").join(nodes, edges["target"] == nodes["id"], "left_semi").select("source", "target")
-    stored = cut(known.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")), "edges")
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("page_rank"))
-    graph = stored.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source").persist(StorageLevel.MEMORY_AND_DISK)
-    degrees = graph.groupBy("source").agg(F.sum("n").alias("out_degree"))
+    known = edges.join(nodes, edges["source"] == nodes["id"], "left_semi").join(nodes, edges["target"] == nodes["id"], "left_semi").select(F.col("source").cast("long").alias("id"), F.col("target").cast("long").alias("target"))
+    links = known.groupBy("id", "target").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.collect_list(F.struct("target", "n")).alias("targets"), F.sum("n").alias("degree"))
+    stored = cut(nodes.join(links, "id", "left"), "graph")
+    graph = stored.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").persist(StorageLevel.MEMORY_AND_DISK)
+    columns = [f"v{j}" for j in range(BATCH + 1)]
 
-    def written(state: DataFrame) -> tuple[DataFrame, float, float]:
+    def batch(start: DataFrame) -> tuple[DataFrame, list[float]]:
+        """The table of a batch, and the mass of dangling nodes in each of its rounds."""
         seen = Observation()
-        mass = F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("rank"))), F.lit(0.0))
-        table = cut(state.observe(seen, mass.alias("mass"), F.max(F.abs(F.col("rank") - F.col("before"))).alias("moved")), "ranks")
-        return table, seen.get["mass"], seen.get["moved"]
+        walked = _walk(start, graph, BATCH, damping).join(graph.selectExpr("id", "degree IS NULL AS loose"), "id")
+        table = cut(walked.observe(seen, *[F.expr(f"coalesce(sum(IF(loose, {v}, 0.0D)), 0.0D) AS {v}") for v in columns]).select("id", *columns), "ranks")
+        got = seen.get
+        return table, [got[v] for v in columns]
+
+    def rank(j: int, added: list[float]) -> str:
+        """Ranks after round ``j`` of a batch; ``w``: what ones become in as many rounds."""
+        return " + ".join([f"v{j}", *(f"{added[j - 1 - i]!r}D * w{i}" for i in range(j))])
 
-    start = nodes.join(degrees, nodes["id"] == degrees["source"], "left").select("id", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.lit(1.0 / n).alias("rank"), F.lit(1.0 / n).alias("before"))
     try:
-        state, loose, _ = written(start)
-        for _ in range(max_rounds):
-            given = graph.join(state, graph["source"] == state["id"]).select("target", (F.col("n") * F.col("rank") / F.col("out_degree")).alias("gift"))
-            gifts = given.groupBy("target").agg(F.sum("gift").alias("gift"))
-            rank = F.lit((1 - damping) / n) + damping * (F.coalesce("gift", F.lit(0.0)) + F.lit(loose / n))
-            moved = state.join(gifts, state["id"] == gifts["target"], "left").select("id", "out_degree", rank.alias("rank"), F.col("rank").alias("before"))
-            old = state
-            state, loose, moved_by = written(moved)
-            release(old)
-            if moved_by < threshold:
-                return state.select("id", F.col("before").alias("page_rank"))
-        return state.select("id", F.col("rank").alias("page_rank"))
+        table, masses = batch(graph.select("id", F.lit(1.0 / n).alias("v0")))
+        # the first batch starts from ones, divided by n
+        ones, of_ones = table.selectExpr("id", *[f"v{j} * {float(n)!r}D AS w{j}" for j in range(BATCH + 1)]), [m * n for m in masses]
+        first = table
+        done = 0
+        while True:
+            added: list[float] = []
+            for j in range(BATCH):
+                loose = masses[j] + sum(added[j - 1 - i] * of_ones[i] for i in range(j))
+                added.append((1 - damping) / n + damping * loose / n)
+            both = table.join(ones, "id")
+            ranks = both.selectExpr("id", *[f"{rank(j, added)} AS r{j}" for j in range(BATCH + 1)])
+            moves = ranks.selectExpr(*[f"max(abs(r{j + 1} - r{j}))" for j in range(BATCH)]).first()
+            for j in range(BATCH):
+                if moves[j] < threshold or done + j == max_rounds:
+                    return ranks.selectExpr("id", f"r{j} AS page_rank")
+            done += BATCH
+            old = table
+            table, masses = batch(ranks.selectExpr("id", f"r{BATCH} AS v0"))
+            if old is not first:
+                release(old)
     finally:
         graph.unpersist()
         release(stored)

@@ -205,11 +205,15 @@ def _register_phrases() -> None:
 _register_phrases()
 
 
-@query(f"""WITH wanted AS (SELECT word_id, word, idf FROM words WHERE stem IN ({sql_list(parse("kitchens storms").stems)})), postings AS (
+STEMMED = "query archive cookies storms"
+
+
+@query(f"""WITH wanted AS (SELECT word_id, word, idf FROM words WHERE stem IN (SELECT stem FROM words WHERE word IN ({sql_list(STEMMED.split())}))), postings AS (
   SELECT document_id AS doc_id, word, word_position AS position, min({_SECTION.format("section")}) AS section FROM document_words JOIN wanted USING (word_id) GROUP BY 1, 2, 3),
   ranked AS ({_blend(_tf("postings", "0.0"))}) SELECT * FROM ranked""")
 def keyword_stem(spark, base):
-    return SearchEngine.over(spark, base, match="stem").rank("kitchens storms")
+    """Words with the stems that the vocabulary has for the query's words, whichever stemmer made them."""
+    return SearchEngine.over(spark, base, match="stem").rank(STEMMED)
 
 
 @query(f"""{_keyword_sql(_KEYWORD_TOKENS)}, page AS (SELECT * FROM ({_PLACED}) WHERE place <= 10),
@@ -318,10 +322,12 @@ def content_dedup(spark, base):
 
 # Rules for the robots queries.
 RULES = (("allow", "/*/k"), ("disallow", "/*/kl"), ("disallow", "/*?id=*&page=8"), ("disallow", "/t*-1$"), ("allow", "/b*/*-2"), ("disallow", "/b"), ("disallow", "/*.html"))
-_RULE_ROWS = ", ".join(f"('{k}', '{robots.rule_regex_text(r).replace(chr(39), chr(39) * 2)}')" for k, r in RULES)
+# What those rules must become.
+RULE_PATTERNS = ("^/.*/k.*", "^/.*/kl.*", r"^/.*\?id=.*&page=8.*", "^/t.*-1$", "^/b.*/.*-2.*", "^/b.*", r"^/.*\.html.*")
+_RULE_ROWS = ", ".join(f"('{k}', '{p}')" for (k, _), p in zip(RULES, RULE_PATTERNS, strict=True))
 
 
-@query("SELECT kind, rule, pattern FROM (VALUES " + ", ".join(f"('{k}', '{r}', '{robots.rule_regex_text(r)}')" for k, r in RULES) + ") t(kind, rule, pattern)")
+@query("SELECT kind, rule, pattern FROM (VALUES " + ", ".join(f"('{k}', '{r}', '{p}')" for (k, r), p in zip(RULES, RULE_PATTERNS, strict=True)) + ") t(kind, rule, pattern)")
 def robots_rules(spark, base):
     return spark.createDataFrame(list(RULES), "kind string, rule string").withColumn("pattern", robots.rule_regex(F.col("rule")))
 

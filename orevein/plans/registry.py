@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general, reference
+from . import general, reference, store
 
-_MODULES = [reference, general]
+_MODULES = [reference, general, store]
 
 
 def queries():
