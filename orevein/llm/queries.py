@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import cut
 from ..sources.tables import load
@@ -44,9 +45,12 @@ def p7_cleaned(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p7_blocks(spark: SparkSession, base: str) -> DataFrame:
-    """Blocks of boilerplate lines, with their lines and documents."""
-    lines = sitelines.boilerplate_lines(load(spark, base, "documents"))
-    return lines.groupBy("block").agg({"doc_id": "count"}).withColumnRenamed("count(doc_id)", "n_lines")
+    """The blocks of all sources: their member lines, their occurrences (runs of lines in a document) and the lines these hold."""
+    hashed = cut(sitelines.hashed_lines(load(spark, base, "documents")).drop("lines"), "lines")
+    blocks = sitelines.boilerplate_blocks(hashed)
+    members = blocks.select("source", F.explode("members").alias("m")).groupBy("source", F.col("m.block").alias("block")).agg(F.count(F.lit(1)).alias("n_members"))
+    found = sitelines.occurrences(hashed, blocks).groupBy("source", "block").agg(F.sum((F.col("run") == F.col("line_no")).cast("long")).alias("n_runs"), F.count(F.lit(1)).alias("n_lines"))
+    return members.join(found, ["source", "block"]).select("source", "n_members", "n_runs", "n_lines")
 
 
 def p8_packed(spark: SparkSession, base: str) -> DataFrame:
@@ -119,6 +123,20 @@ ranks AS (SELECT *, rank() OVER (PARTITION BY query_id, score ORDER BY value DES
 total AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + r)), 12) AS fused, count(*)::INTEGER AS n_scores FROM ranks GROUP BY 1, 2)
 SELECT query_id, doc_id, fused, n_scores, rank() OVER (PARTITION BY query_id ORDER BY fused DESC) AS rank FROM total""",
     "p7_found": _LINES + "SELECT doc_id, line_no FROM lines SEMI JOIN kept USING (source, key)",
+    "p7_blocks": _LINES.replace("WITH lines", "WITH RECURSIVE lines")
+    + """, marked AS (
+      SELECT doc_id, source, line_no, kept.key AS key, lag(kept.key) OVER w AS before, row_number() OVER w AS place
+      FROM (SELECT * FROM lines WHERE key <> '' AND source IS NOT NULL) l LEFT JOIN kept USING (source, key) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+    edges AS (
+      SELECT source, before AS a, key AS b FROM marked JOIN sizes USING (source) WHERE key IS NOT NULL AND before IS NOT NULL
+      GROUP BY 1, 2, 3, size HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) >= 0.1 * size),
+    ways AS (SELECT source, a, b FROM edges UNION SELECT source, b, a FROM edges),
+    reach(source, a, b) AS (SELECT source, key, key FROM kept UNION SELECT reach.source, reach.a, ways.b FROM reach JOIN ways ON ways.source = reach.source AND ways.a = reach.b),
+    blocks AS (SELECT source, a AS key, min(b) AS block FROM reach GROUP BY 1, 2),
+    members AS (SELECT source, block, count(*) AS n_members FROM blocks GROUP BY 1, 2),
+    matched AS (SELECT doc_id, m.source, block, block IS DISTINCT FROM lag(block) OVER (PARTITION BY doc_id ORDER BY line_no) AS begins FROM marked m LEFT JOIN blocks USING (source, key)),
+    found AS (SELECT source, block, count(*) FILTER (begins) AS n_runs, count(*) AS n_lines FROM matched WHERE block IS NOT NULL GROUP BY 1, 2)
+    SELECT source, n_members, n_runs, n_lines FROM members JOIN found USING (source, block)""",
     "p7_cleaned": _LINES
     + """, marked AS (SELECT lines.*, kept.key IS NOT NULL AS gone FROM lines LEFT JOIN kept USING (source, key))
     SELECT documents.doc_id, CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') END AS text,

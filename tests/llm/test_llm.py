@@ -131,6 +131,24 @@ def test_site_lines(spark):
     assert sitelines.boilerplate_lines(docs.where("1 = 0")).count() == 0
 
 
+def test_blocks_are_components_of_edges_of_support(spark):
+    """The same lines make one block where they follow each other, and blocks of their own where their order changes."""
+    order = [["a", "b", "c"], ["b", "a", "c"], ["c", "a", "b"]]
+    rows = [(i, "fixed", "a\n\nb\nc\nown" + "x" * i) for i in range(40)] + [(100 + i, "loose", "\n".join(["one" + "y" * i, *order[i % 3]])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    hashed = sitelines.hashed_lines(docs)
+    blocks = sitelines.boilerplate_blocks(hashed)
+    sizes = {r["source"]: sorted(collections.Counter(m["block"] for m in r["members"]).values()) for r in blocks.collect()}
+    assert sizes == {"fixed": [3], "loose": [3]}
+    found = sitelines.occurrences(hashed, blocks).collect()
+    assert {(r["line_no"], r["run"]) for r in found if r["doc_id"] == 0} == {(0, 0), (2, 0), (3, 0)}
+    assert {(r["line_no"], r["run"]) for r in found if r["doc_id"] == 100} == {(1, 1), (2, 1), (3, 1)}
+    heavier = sitelines.line_edges(hashed, sitelines.line_nodes(hashed), min_share=0.9)
+    few = {r["source"]: sorted(collections.Counter(m["block"] for m in r["members"]).values()) for r in sitelines.components(sitelines.line_nodes(hashed), heavier).collect()}
+    assert few == {"fixed": [3], "loose": [1, 1, 1]}  # edges of too little weight join nothing
+    assert sitelines.matched(hashed, blocks.where("1 = 0")).where(F.exists("b", lambda x: x.isNotNull())).count() == 0  # no blocks, no lines
+
+
 # --- Residue ----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     "line, kind",
