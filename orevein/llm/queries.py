@@ -63,6 +63,23 @@ def p8_fill(spark: SparkSession, base: str) -> DataFrame:
     return packing.fill_report(p8_packed(spark, base), load(spark, base, "containers"))
 
 
+def p8_invariants(spark: SparkSession, base: str) -> DataFrame:
+    """What packing must never do, counted for each kind: containers above the capacity, documents split without need, tokens lost, containers in more
+    than one step group, step groups of uneven number."""
+    counts = cut(packing.token_counts(load(spark, base, "documents")), "tokens")
+    containers = load(spark, base, "containers")
+    packed = cut(packing.pack_documents(counts, containers), "containers")
+    kinds = containers.select("container_kind", F.col("capacity_tokens").alias("capacity"))
+    boxes = packed.groupBy("container_kind", "container").agg(F.sum("n_tokens").alias("n"), F.min("step_group").alias("g"), F.max("step_group").alias("last")).join(kinds, "container_kind")
+    groups = boxes.groupBy("container_kind", "g").agg(F.count(F.lit(1)).alias("n")).groupBy("container_kind").agg((F.max("n") - F.min("n") > 1).cast("int").alias("uneven"))
+    over = boxes.groupBy("container_kind").agg(F.sum((F.col("n") > F.col("capacity")).cast("int")).alias("n_over"), F.sum((F.col("g") != F.col("last")).cast("int")).alias("n_torn"))
+    documents = packed.groupBy("container_kind", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("packed")).join(kinds, "container_kind").join(counts, "doc_id")
+    split = documents.groupBy("container_kind").agg(
+        F.sum((F.col("pieces") > F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")), F.lit(1))).cast("int")).alias("n_split"), F.sum((F.col("packed") != F.col("n_tokens")).cast("int")).alias("n_lost"), F.count(F.lit(1)).alias("n_documents")
+    )
+    return over.join(split, "container_kind").join(groups, "container_kind")
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return leaks.leaks(load(spark, base, "documents"), load(spark, base, "benchmark")).select("doc_id", "item_id").distinct()
 
@@ -83,7 +100,7 @@ def p10_kinds(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (p2_found, p4_ranking, p5_found, p5_restored, p6_found, p6_list_pages, p7_found, p7_cleaned, p7_blocks, p8_packed, p8_fill, p9_found, p9_leaked_items, p10_found, p10_kinds)
+    for query in (p2_found, p4_ranking, p5_found, p5_restored, p6_found, p6_list_pages, p7_found, p7_cleaned, p7_blocks, p8_packed, p8_fill, p8_invariants, p9_found, p9_leaked_items, p10_found, p10_kinds)
 }
 
 _SPACE = r"[\t\r\x0b\f\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -123,6 +140,7 @@ ranks AS (SELECT *, rank() OVER (PARTITION BY query_id, score ORDER BY value DES
 total AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + r)), 12) AS fused, count(*)::INTEGER AS n_scores FROM ranks GROUP BY 1, 2)
 SELECT query_id, doc_id, fused, n_scores, rank() OVER (PARTITION BY query_id ORDER BY fused DESC) AS rank FROM total""",
     "p7_found": _LINES + "SELECT doc_id, line_no FROM lines SEMI JOIN kept USING (source, key)",
+    "p8_invariants": "SELECT container_kind, 0 AS n_over, 0 AS n_torn, 0 AS n_split, 0 AS n_lost, (SELECT count(*) FROM documents) AS n_documents, 0 AS uneven FROM containers WHERE capacity_tokens >= 1",
     "p7_blocks": _LINES.replace("WITH lines", "WITH RECURSIVE lines")
     + """, marked AS (
       SELECT doc_id, source, line_no, kept.key AS key, lag(kept.key) OVER w AS before, row_number() OVER w AS place

@@ -402,8 +402,29 @@ def test_pack_keeps_every_item(sizes):
     assert (fill <= 64).all()
     if len(sizes):
         assert len(fill) <= max(1, 1.5 * -(-sizes.sum() // 64) + 1)
-        groups = packing.deal(fill)
-        assert np.ptp(np.bincount(groups)) <= 1
+
+
+def test_tiers_decide_who_shares_a_container():
+    """In one tier 5 goes to the fullest container that has room for it; with tiers the gap beside 80 is filled before the tier of 30 is packed."""
+    sizes = np.array([80, 65, 30, 5], np.int64)
+    sets = lambda tiered: {tuple(sorted(int(s) for s in sizes[where == b])) for where, fill in [packing.pack(sizes, 100, tiered)] for b in range(len(fill))}
+    assert sets(False) == {(5, 30, 65), (80,)} and sets(True) == {(5, 80), (30, 65)}
+    assert packing.tier_of(np.array([100, 51, 50, 26, 25, 1, 0]), 100).tolist() == [0, 0, 1, 1, 2, 6, 6]
+    r = np.random.default_rng(3)
+    for sizes in (r.integers(1, 257, 4000), np.clip(r.lognormal(4, 1, 4000).astype(int), 1, 256)):
+        plain, tiered = packing.pack(sizes, 256, False), packing.pack(sizes, 256)
+        assert (plain[0] != tiered[0]).any() and len(tiered[1]) <= len(plain[1]) * 1.002
+
+
+def test_step_groups_are_even_over_the_whole_kind(spark):
+    r = random.Random(5)
+    frame = spark.createDataFrame([(i, r.choice([1, 17, 99, 120, 256, 300, 700])) for i in range(3000)], "doc_id long, n_tokens long")
+    kinds = spark.createDataFrame([("small", 256)], "container_kind string, capacity_tokens int")
+    boxes = packing.pack_documents(frame, kinds, shard_items=400).toPandas().groupby("container").agg(n=("n_tokens", "sum"), g=("step_group", "first"))
+    groups = boxes.groupby("g")["n"].agg(["count", "sum"])
+    assert groups["count"].max() == packing.GROUP_CONTAINERS and np.ptp(groups["count"]) <= 1
+    whole = groups[groups["count"] == packing.GROUP_CONTAINERS]["sum"]
+    assert np.ptp(whole) <= 256
 
 
 def test_packed_table(spark):
