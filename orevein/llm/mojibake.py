@@ -11,10 +11,11 @@ also stand as HTML character references; these are resolved first, and reference
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import cache
 from html import unescape
 from html.entities import html5
-from unicodedata import category
+from unicodedata import category, name
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,7 +27,6 @@ CODE_PAGES = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850")
 SINGLE_BYTE = (("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp850"))
 ROUNDS = 4
 REPLACEMENT = "�"
-_LETTERS_RU = "ёЁ"
 
 
 @cache
@@ -43,17 +43,9 @@ def to_bytes(page: str) -> dict[str, int]:
     return out
 
 
-_MARKS = frozenset([*range(0x300, 0x305), 0x306, 0x307, 0x308, 0x30A, 0x30B, 0x30C, 0x327, 0x328])
-
-
 def plausible(ch: str) -> bool:
-    """Whether a decoded character is one that text in European languages is made of, or a byte of the next round."""
-    c = ord(ch)
-    if c >= 0x10000:
-        return category(ch) not in ("Cn", "Co")
-    if 0x300 <= c <= 0x36F:  # marks that are in use: others stand for a correct accented capital and a closing quote
-        return c in _MARKS
-    return c in (0x200D, 0xFE0F) or 0x2600 <= c <= 0x27BF or 0x80 <= c <= 0x17F or 0x2010 <= c <= 0x203A or c in (0x20AC, 0x2122, 0x401, 0x451) or 0x410 <= c <= 0x44F or 0x391 <= c <= 0x3CE
+    """Whether a decoded character is one of any script, or a byte of the next round: assigned, and no surrogate or private one."""
+    return category(ch) not in ("Cn", "Co", "Cs")
 
 
 def sequences(text: str, page: str) -> list[tuple[int, int, str]]:
@@ -94,25 +86,108 @@ def _spans(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
-def _believed(text: str, span: tuple[int, int, str], page: str) -> bool:
-    """Rules out spans that correct Cyrillic text can hold by chance: one capital and a yo without a Latin letter beside, read as cp1251."""
+#: Signs that may stand right before or behind a correct word.
+_AROUND = "\"'()[]{}<>.,;:!?*/&%+=~#@_|-\\" + "‘’‚‛“”„‟‹›«»…–—―·•¡¿°ºª²³¹®©™\xa0\xad"
+#: Leads of two-byte sequences that no word consists of or ends with.
+_LEADS = frozenset("ÃÂÅÄâ")
+
+
+def _natural(word: str) -> bool:
+    """Whether a word's form is one that people write: letters of one script in small, capital or title case, or no letters beyond ASCII at all."""
+    core = word.strip(_AROUND)
+    if core in _LEADS:
+        return False
+    for part in re.split(r"['’‘\-‑‐·–/&.\xad«»“”„…—]+", core):
+        letters = part.strip("0123456789" + _AROUND)
+        if letters.isascii():
+            continue
+        if not all(c.isalpha() or category(c) == "Mn" for c in letters) or len({_script(c) for c in letters if c.isalpha()}) > 1:
+            return False
+        small = letters[1:]
+        if not (small == small.lower() or letters == letters.upper()):
+            return False
+    return True
+
+
+@cache
+def _script(ch: str) -> str:
+    return name(ch, "").split(" ")[0]
+
+
+def _word_around(text: str, start: int, end: int) -> str:
+    while start and not text[start - 1].isspace():
+        start -= 1
+    while end < len(text) and not text[end].isspace():
+        end += 1
+    return text[start:end]
+
+
+def _told(text: str, span: tuple[int, int, str]) -> str:
+    """What tells that a span is garbled and no chance of correct text: ``sure``, the script that needs another letter to be sure, or nothing.
+
+    Correct text has such spans where a capital with an accent, or a Cyrillic letter, stands before a quote, a dash or another letter. Its words look
+    natural as they stand; garbled ones hold signs inside, or capitals behind small letters.
+    """
     start, end, decoded = span
-    if page != "cp1251" or len(decoded) > 1 or text[end - 1] not in _LETTERS_RU:
-        return True
-    return any(c.isascii() and c.isalpha() for c in text[max(start - 1, 0) : start] + text[end : end + 1])
+    shown = text[start:end]
+    first, second = shown[0], shown[1]
+    if ord(decoded[0]) >= 0x10000:
+        return "sure"
+    word = _word_around(text, start, end)
+    if first in "ÃÅ" and second in "œžšŸƒŒŠŽˆ˜":  # letters that never follow these capitals
+        return "sure"
+    if first == "Â" and second not in "»”’“":
+        return "sure"
+    after = text[end : end + 1]
+    if first in "ÃÅ" and after.isalpha() and (second in "‘’“”‚„" or second in "–—" and (after.islower() or not text[start - 1 : start].isalpha())):
+        return "sure"  # a closing quote or a dash with a letter behind it
+    if _natural(word):
+        return ""
+    kinds = {_script(c) for c in decoded if c.isalpha()}
+    if not kinds:  # signs: those of punctuation, currency and the like, and bytes of the next round
+        return "sure" if all(category(c)[0] in "PSCZN" for c in decoded) else "mark"
+    if kinds == {"LATIN"} and len(decoded) == 1 and not _common(decoded):
+        return "RARE"
+    if kinds & {"LATIN", "GREEK"}:
+        return "sure"
+    if len(decoded) > 1:
+        return "sure"
+    if "CYRILLIC" in kinds and start and _script(text[start - 1]) == "CYRILLIC" and text[start - 1].islower():
+        return "sure"
+    return next(iter(kinds))
+
+
+def _common(ch: str) -> bool:
+    """Letters of Latin alphabets and signs of text, or a byte of the next round."""
+    c = ord(ch)
+    return 0x80 <= c <= 0x17F or 0x218 <= c <= 0x21B or 0x1E00 <= c <= 0x1EFF or 0x2010 <= c <= 0x203A or c in (0x1A0, 0x1A1, 0x1AF, 0x1B0, 0x20AC, 0x2122)
+
+
+def _found_spans(text: str, page: str) -> list[tuple[int, int, str]]:
+    """The spans of ``text`` that are garbled by ``page``: those that are sure, and where there are some, or two letters of a script, also the others of that
+    script and those of common letters and signs."""
+    spans = _spans(sequences(text, page))
+    told = [_told(text, s) for s in spans]
+    counts = Counter(t for t in told if t not in ("", "sure"))
+    scripts = {_script(c) for s, t in zip(spans, told, strict=True) if t == "sure" for c in s[2] if c.isalpha()} - {"LATIN"} | {t for t, n in counts.items() if n > 1}
+    some = "sure" in told
+    return [s for s, t in zip(spans, told, strict=True) if t == "sure" or t in scripts or _script(s[2][0]) in scripts or some and all(map(_common, s[2]))]
 
 
 def _utf8_round(text: str) -> str:
-    best, gain = text, 0
+    """``text`` with the spans of one code page decoded: the page that explains most characters and, of several, leaves the fewest odd words."""
+    best, gain = text, (0, 0)
     for page in CODE_PAGES:
-        spans = [s for s in _spans(sequences(text, page)) if _believed(text, s, page)]
+        spans = _found_spans(text, page)
         covered = sum(e - s for s, e, _ in spans)
-        if covered > gain:
+        if covered and covered >= gain[0]:
             parts, at = [], 0
             for start, end, decoded in spans:
                 parts += [text[at:start], decoded]
                 at = end
-            best, gain = "".join(parts) + text[at:], covered
+            made = "".join(parts) + text[at:]
+            if (covered, odd := -sum(not _natural(w) for w in made.split())) > gain or best is text:
+                best, gain = made, (covered, odd)
     return best
 
 
@@ -128,6 +203,7 @@ _ODD_CYRILLIC = (
     (re.compile(r"^[^\w]*[а-яё][А-ЯЁ]{3,}[^\w]*$"), (("cp1251", "koi8_r"), ("koi8_r", "cp1251"))),
     (re.compile(r"[A-Za-z][а-яА-ЯёЁ]{1,2}[a-z]"), (("cp1251", "cp1252"),)),
 )
+_ODD_LETTERS = ("[À-ÿ¸¨]{4}", "[а-яё][А-ЯЁ]{3}", "[A-Za-z][а-яА-ЯёЁ]{1,2}[a-z]")
 _NATURAL_CYRILLIC = re.compile(r"^[^\w]*(?:[А-ЯЁ]?[а-яё-]+|[А-ЯЁ-]+)[^\w]*$")
 _COMMON_CYRILLIC = frozenset("оеаинтсрвл")
 
@@ -181,11 +257,11 @@ _REFERENCE = re.compile(r"&(?:amp;)*(#[0-9]{1,20};?|#[xX][0-9a-fA-F]{1,20};?|[A-
 
 def _character(reference: re.Match) -> str:
     """The characters beyond ASCII that a reference stands for; itself if it is of ASCII or of none."""
-    name = reference[1]
-    if name[0] != "#" and name not in html5:
+    entity = reference[1]
+    if entity[0] != "#" and entity not in html5:
         return reference[0]
-    shown = unescape("&" + name)
-    invented = REPLACEMENT in shown and name.lower().rstrip(";").replace("#x0", "#x") not in ("#65533", "#xfffd")
+    shown = unescape("&" + entity)
+    invented = REPLACEMENT in shown and entity.lower().rstrip(";").replace("#x0", "#x") not in ("#65533", "#xfffd")
     return reference[0] if invented or not shown or min(shown) < "\x80" else shown
 
 
@@ -210,6 +286,17 @@ def repair(text: str | None) -> tuple[bool, str | None]:
     return found, now if found else text
 
 
+def suspect() -> str:
+    """A pattern that every garbled value matches: a lead's character before a continuation's in some code page, a letter where no language puts it,
+    a replacement character or a character reference."""
+    one = lambda chars: "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
+    pairs = []
+    for page in CODE_PAGES:
+        table = to_bytes(page)
+        pairs.append(one(c for c, b in table.items() if 0xC2 <= b <= 0xF4) + one(c for c, b in table.items() if b <= 0xBF))
+    return "|".join([*pairs, _MIXED.pattern, *_ODD_LETTERS, REPLACEMENT, "&[#A-Za-z]"])
+
+
 _RESULT = "doc_id long, field string, value string, restored string, is_restored boolean"
 
 
@@ -224,11 +311,11 @@ def _repair_batches(batches):
 def garbled(documents: DataFrame, fields: tuple[str, ...] = ("title", "description"), key: str = "doc_id") -> DataFrame:
     """``(doc_id, field, value, restored, is_restored)`` of the garbled values of ``fields``.
 
-    A narrow operator: no shuffle, and values of ASCII characters only without a character reference never leave the JVM. Each value is read whole. Nulls and
+    A narrow operator: no shuffle, and values without a suspect sequence of characters never leave the JVM. Each value is read whole. Nulls and
     empty texts are not garbled; documents without an id are left out, documents repeated are reported as often; an empty table gives no rows; further columns
     are not read. ``is_restored`` is false where replacement characters show that bytes were lost, with ``restored`` holding what
     could be brought back around them.
     """
     pairs = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]
     long = documents.select(F.col(key).alias("doc_id"), F.explode(F.array(*pairs)).alias("p")).select("doc_id", "p.field", "p.value")
-    return long.where("doc_id is not null").where(F.col("value").rlike(r"[^\x00-\x7F]|&[#A-Za-z]")).mapInPandas(_repair_batches, _RESULT)
+    return long.where("doc_id is not null").where(F.col("value").rlike(suspect())).mapInPandas(_repair_batches, _RESULT)

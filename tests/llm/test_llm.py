@@ -90,6 +90,41 @@ def test_correct_marks_and_cyrillic_are_no_case(text):
     assert mojibake.repair(text) == (False, text)
 
 
+WORLD = {
+    "uk": "Київ – найкраще місто України", "sr": "Љубав и срећа у Београду", "ro": "Învățământ și țări", "vi": "Tiếng Việt rất đẹp", "el": "Καλημέρα κόσμε", "ar": "مرحبا بالعالم", "ja": "日本語のテキスト", "emoji": "great 😀 day",
+    "ru": "Привет, мир", "pl": "Zażółć gęślą jaźń", "tr": "Işığı görüyorum İstanbul", "he": "שלום עולם", "hi": "नमस्ते दुनिया", "ko": "안녕하세요 세계", "zh": "中文 网页", "mix": "a café in 東京 town",
+}
+CLEAN_WORLD = [
+    *WORLD.values(), "«СССР»", "Рік Рівного", "РІК Сірі Різні", "«ЗІЛ» і «КРАЗ»", "Пёс и Сёмга", "RÓŻA i KÓŁKO", "l’été d’État", "L’École “É” – CAFÉ”", "« café »", "Íñigo y Úrsula", "Úľ Žilina", "À l’orée", "“ÜBER”", "Gdańsk, Łódź…",
+    "Ştefan cel Mare şi Sfânt", "München™", "5°C – 10 °C", "naïve façade", "Ñandú»", "Île-de-France", "ÉLÉPHANT”", "Ô»", "5×“foo”", "Œuvre «à»", "Ђура Џеф", "IRMÃ” e MANHÃ»",
+]
+
+
+@pytest.mark.parametrize("text", CLEAN_WORLD)
+def test_correct_text_of_any_script_is_left_alone(text):
+    assert mojibake.repair(text) == (False, text)
+
+
+@pytest.mark.parametrize("page", mojibake.CODE_PAGES)
+@pytest.mark.parametrize("lang", WORLD)
+def test_misread_text_of_any_script_comes_back(page, lang):
+    table = {b: c for c, b in mojibake.to_bytes(page).items()}
+    data = WORLD[lang].encode()
+    if all(b < 128 or b in table for b in data):
+        assert mojibake.repair("".join(table[b] if b > 127 else chr(b) for b in data)) == (True, WORLD[lang])
+
+
+def test_no_garbled_value_stays_in_the_jvm(spark):
+    shown = []
+    for page in mojibake.CODE_PAGES:
+        table = {b: c for c, b in mojibake.to_bytes(page).items()}
+        shown += ["".join(table.get(b, "?") if b > 127 else chr(b) for b in t.encode()) for t in WORLD.values()]
+    shown += ["el �rbol", "Guía de espaÒol: el camiÛn", "Ïðèâåò", "march&#195;&#169;", "Ð\x9f\x8d", *CLEAN_WORLD]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(shown)], "doc_id long, title string")
+    got = {r["doc_id"] for r in mojibake.garbled(rows, ("title",)).collect()}
+    assert got == {i for i, t in enumerate(shown) if mojibake.repair(t)[0]}
+
+
 def test_lost_reference():
     assert mojibake.repair("el &#65533;rbol &#xFFFD;") == (True, "el �rbol �")
 
