@@ -276,7 +276,7 @@ def repair(text: str | None) -> tuple[bool, str | None]:
 
     In a garbled text references of characters beyond ASCII are resolved; those of ASCII characters, as ``&amp;``, stay.
     """
-    if text is None or text.isascii() and "&" not in text:
+    if text is None or not suspect().search(text):
         return False, text
     plain = _REFERENCE.sub(_character, text) if "&" in text else text
     now = _cyrillic(plain)
@@ -292,14 +292,15 @@ def repair(text: str | None) -> tuple[bool, str | None]:
     return found, now if found else text
 
 
-def suspect() -> str:
+@cache
+def suspect() -> re.Pattern:
     """A pattern that every garbled value matches: a lead's character before a continuation's of code pages, a letter where no language puts it,
     a replacement character or a character reference."""
-    one = lambda chars: "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
+    one = lambda chars: "[" + "".join(map(re.escape, sorted(chars))) + "]"
     bytes_of = [pair for page in CODE_PAGES for pair in to_bytes(page).items()]
     # one pair of classes for all pages: a pair for each takes longer to match than it saves
     leads, others = one({c for c, b in bytes_of if 0xC2 <= b <= 0xF4}), one({c for c, b in bytes_of if b <= 0xBF})
-    return "|".join([leads + others, _MIXED.pattern, *_ODD_LETTERS, REPLACEMENT, "&[#A-Za-z]"])
+    return re.compile("|".join([leads + others, _MIXED.pattern, *_ODD_LETTERS, REPLACEMENT, "&[#A-Za-z]"]))
 
 
 _RESULT = "doc_id long, field string, value string, restored string, is_restored boolean"
@@ -316,11 +317,12 @@ def _repair_batches(batches):
 def garbled(documents: DataFrame, fields: tuple[str, ...] = ("title", "description"), key: str = "doc_id") -> DataFrame:
     """``(doc_id, field, value, restored, is_restored)`` of the garbled values of ``fields``.
 
-    A narrow operator: no shuffle, and values without a suspect sequence of characters never leave the JVM. Each value is read whole. Nulls and
+    A narrow operator: no shuffle, and values of ASCII characters only without a character reference never leave the JVM (the finer pattern of suspect
+    sequences takes the JVM longer than sending the values and matching it there saves). Each value is read whole. Nulls and
     empty texts are not garbled; documents without an id are left out, documents repeated are reported as often; an empty table gives no rows; further columns
     are not read. ``is_restored`` is false where replacement characters show that bytes were lost, with ``restored`` holding what
     could be brought back around them.
     """
     pairs = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]
     long = documents.select(F.col(key).alias("doc_id"), F.explode(F.array(*pairs)).alias("p")).select("doc_id", "p.field", "p.value")
-    return long.where("doc_id is not null").where(F.col("value").rlike(suspect())).mapInPandas(_repair_batches, _RESULT)
+    return long.where("doc_id is not null").where(F.col("value").rlike(r"[^\x00-\x7F]|&[#A-Za-z]")).mapInPandas(_repair_batches, _RESULT)

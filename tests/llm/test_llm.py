@@ -114,7 +114,7 @@ def test_misread_text_of_any_script_comes_back(page, lang):
         assert mojibake.repair("".join(table[b] if b > 127 else chr(b) for b in data)) == (True, WORLD[lang])
 
 
-def test_no_garbled_value_stays_in_the_jvm(spark):
+def test_prefilters_lose_nothing(spark):
     shown = []
     for page in mojibake.CODE_PAGES:
         table = {b: c for c, b in mojibake.to_bytes(page).items()}
