@@ -8,17 +8,20 @@ passage cost a constant. The best alignment's longest stretch within the allowed
 its rare words (names and numbers, as a rule) none is the same, or more than one and more than a third are changed, and edits that strike
 any word alike, as many as are allowed, would strike so many of them with a chance below ``LIKE_CHANCE`` only.
 
-Scale: documents are read once and nothing is shuffled. The items are the stated set: they are cut into blocks whose seeds fit a fixed
-bound, each block is sent to the executors, and all blocks are matched in the same pass over a document, or in further passes where they
-exceed the bound. There is no limit on documents per item, items per document or on the length of a text.
+Scale: documents are read once and nothing is shuffled. The items are the stated set: words become numbers and seeds sorted arrays of hashes, some
+30 bytes a word, so a pass over the documents takes ``BLOCK_WORDS`` words of items, and only a set beyond that takes further passes. Words are counted
+over all items before, so a block's border changes nothing. The documents of a batch are looked up together. There is no limit on documents per item, items
+per document or on the length of a text; an alignment keeps a byte for each pair of an item's word and a word of the window it is aligned with.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 from math import ceil, comb
 
 import numpy as np
@@ -31,9 +34,10 @@ from ..session import spread
 GRAM = 3
 #: A word that stands in more items than this is not rare, unless it is a number.
 RARE_ITEMS = 2
-#: Words of items in one block: the bound of what is sent to the executors at once.
-BLOCK_WORDS = 400_000
-PART_WORDS = 200_000
+#: Words of items that one pass over the documents takes: the bound of what is sent to the executors.
+BLOCK_WORDS = 4_000_000
+#: Pairs of words that one alignment may hold before its window is cut into overlapping ones.
+CELLS = 50_000_000
 MIN_COVER = 0.4
 MAX_EDITS = 1 / 6
 #: Chance of so many changed rare words below which the edits picked them.
@@ -46,99 +50,136 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` codes from each place on; one that meets a code below 0 means nothing."""
+    out = np.zeros(max(0, len(codes) - size + 1), np.uint64)
+    for i in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(out)].astype(np.uint64) + np.uint64(1)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Items:
-    """Test items by their words, with an index of their n-grams. ``df``: items that hold each word, where ``rows`` are a block of more."""
+    """Test items by the numbers of their words, with an index of their n-grams.
+
+    ``df``: items that hold each word, where ``rows`` are a block of more. Items of fewer than 8 words have pairs of words as seeds instead
+    of threes, those of one word that word.
+    """
 
     def __init__(self, rows: list[tuple[int, str]], min_cover: float = MIN_COVER, df: Counter | None = None):
+        texts = [words(t or "") for _, t in rows]
         self.ids = [i for i, _ in rows]
-        self.words = [words(t or "") for _, t in rows]
-        self.codes = [{w: k for k, w in enumerate(dict.fromkeys(ws))} for ws in self.words]
-        self.coded = [np.array([c[w] for w in ws], np.int64) for ws, c in zip(self.words, self.codes, strict=True)]
-        self.index: dict[tuple, list[int]] = defaultdict(list)
-        for k, ws in enumerate(self.words):
-            for g in set(zip(*(ws[i:] for i in range(GRAM)))):
-                self.index[g].append(k)
-        self.index = dict(self.index)
-        df = Counter(w for ws in self.words for w in set(ws)) if df is None else df
-        self.rare = [np.array([df[w] <= RARE_ITEMS or w.isnumeric() for w in ws], bool) for ws in self.words]
-        # an edit at the very end of a passage leaves the alignment a word short
-        self.least = [max(1, ceil(min_cover * len(ws) - 1 - 1e-6)) for ws in self.words]
-        self.tiny = defaultdict(list)
-        for k, ws in enumerate(self.words):
-            if 0 < len(ws) < 2 * GRAM + 2:
-                self.tiny[ws[0]].append(k)
-                for w in set(ws[1:]):
-                    self.tiny[w].append(k)
-
-    def candidates(self, ws: list[str]) -> dict[int, set]:
-        """Items whose passages the text may hold, with the seeds it has of each."""
-        hits: set = set()
-        for a in range(0, len(ws), PART_WORDS):  # a very long text is looked up in parts
-            part = ws[a : a + PART_WORDS + GRAM - 1]
-            hits |= self.index.keys() & set(zip(*(part[i:] for i in range(GRAM))))
-        if not hits and not self.tiny:
-            return {}
-        found: dict[int, set] = defaultdict(set)
-        for g in hits:
-            for k in self.index[g]:
-                found[k].add(g)
-        present = set(ws)
-        out = {k: gs for k, gs in found.items() if self.holds(k, present)}
-        if self.tiny:  # items too short for seeds of three words are found by any word
-            for w in present & self.tiny.keys():
-                for k in self.tiny[w]:
-                    out.setdefault(k, set())
-        return out
-
-    def holds(self, k: int, present: set) -> bool:
+        self.code: dict[str, int] = {w: k for k, w in enumerate(dict.fromkeys(w for ws in texts for w in ws))}
+        self.coded = [np.fromiter(map(self.code.__getitem__, ws), np.int32, len(ws)) for ws in texts]
+        df = Counter(w for ws in texts for w in set(ws)) if df is None else df
+        rare = np.array([df[w] <= RARE_ITEMS or w.isnumeric() for w in self.code], bool)
+        self.rare = [rare[c] for c in self.coded]
+        # an edit at the very end of a passage leaves the alignment a word short; too few words allow no edit
+        self.slack = [1 if min_cover * len(ws) * MAX_EDITS >= 1 else 0 for ws in texts]
+        self.least = [max(1, ceil(min_cover * len(ws) - k - 1e-6)) for ws, k in zip(texts, self.slack, strict=True)]
+        self.size = [GRAM if len(ws) >= 2 * GRAM + 2 else min(2, len(ws)) for ws in texts]
+        self.seeds = {}
+        for size in sorted(set(self.size) - {0}):
+            made = [(_hashes(c, size), k) for k, c in enumerate(self.coded) if self.size[k] == size]
+            seeds, owners = np.concatenate([h for h, _ in made]), np.concatenate([np.full(len(h), k, np.int32) for h, k in made])
+            order = np.lexsort((owners, seeds))
+            seeds, owners = seeds[order], owners[order]
+            fresh = np.ones(len(seeds), bool)
+            fresh[1:] = (seeds[1:] != seeds[:-1]) | (owners[1:] != owners[:-1])
+            seeds, owners = seeds[fresh], owners[fresh]
+            self.seeds[size] = (seeds, owners)
+        self.present = np.zeros(len(self.code) + 1, bool)
+
+    def codes(self, ws: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.code.get, ws, repeat(-1)), np.int32, len(ws))
+
+    def pairs(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Texts and items that share a seed: ``codes`` of many texts, the one of number i from ``starts[i]`` on."""
+        found = []
+        for size, (seeds, owners) in self.seeds.items():
+            hashes = _hashes(codes, size)
+            low = np.searchsorted(seeds, hashes)
+            hit = np.flatnonzero((low < len(seeds)) & (seeds[np.minimum(low, len(seeds) - 1)] == hashes))
+            text = np.searchsorted(starts, hit, "right") - 1
+            inside = text == np.searchsorted(starts, hit + size - 1, "right") - 1
+            for i in range(size):
+                inside &= codes[hit + i] >= 0
+            # a seed counts once a text, however often it stands there
+            once = np.unique(np.stack([text[inside], low[hit[inside]]], axis=1), axis=0)
+            n = np.searchsorted(seeds, seeds[once[:, 1]], "right") - once[:, 1]
+            at = np.repeat(once[:, 1] - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+            found.append(np.unique(np.stack([np.repeat(once[:, 0], n), owners[at]], axis=1), axis=0))
+        yield from (map(tuple, np.concatenate(found).tolist()) if found else ())
+
+    def candidates(self, ws: list[str]) -> list[int]:
+        """Items whose passages the text may hold."""
+        codes = self.codes(ws)
+        return sorted({k for _, k in self.pairs(codes, np.array([0])) if self.holds(k, codes)})
+
+    def holds(self, k: int, codes: np.ndarray) -> bool:
         """Whether some stretch of item ``k``, as long as asked for, lacks no more words than may be changed."""
-        least, sums, low = self.least[k], [0.0], 1e9
-        for w in self.words[k]:
-            sums.append(sums[-1] + MAX_EDITS - (w not in present))
-            if len(sums) > least:
-                low = min(low, sums[-1 - least])
-                if sums[-1] >= low - 1e-6:
-                    return True
-        return False
+        self.present[codes] = True
+        self.present[-1] = False  # of words in no item
+        sums = np.concatenate([[0.0], np.cumsum(MAX_EDITS - ~self.present[self.coded[k]])])
+        self.present[codes] = False
+        low, least = np.minimum.accumulate(sums), self.least[k]
+        return len(sums) > least and bool((sums[least:] >= low[: len(sums) - least] - 1e-6).any())
 
 
 def align(item: np.ndarray, text: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
     """Smith-Waterman of item and text word codes. ``starts``: whether a text word begins a line.
 
-    The steps of the best alignment in order, as (kind, place in the item): 0 match, 1 changed, 2 added in the text, 3 dropped.
+    The steps of the best alignment in order, as (kind, place in the item): 0 match, 1 changed, 2 added in the text, 3 dropped. Only the last row of
+    scores is kept, and of each cell the step that led there, in a byte; where a line end was jumped from, its row.
     """
     n, m = len(item), len(text)
-    table = np.zeros((m + 1, n + 1))
-    ramp = GAP * np.arange(n + 1)
-    skip, skip_row = np.full(n + 1, -1e9), np.zeros(n + 1, np.int64)
-    came = np.zeros((m + 1, n + 1), np.int64)  # row before: the one above, or the line end jumped from
+    came = np.zeros((m + 1, n + 1), np.int8)  # 0 nothing, then the kinds of steps and one
+    jumps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    row, ramp = np.zeros(n + 1), GAP * np.arange(n + 1)
+    skip, skip_row = np.full(n + 1, -1e9), np.zeros(n + 1, np.int32)
+    best, best_at = 0.0, (0, 0)
     for r in range(1, m + 1):
-        above, rows = table[r - 1], np.full(n + 1, r - 1)
+        above = row
         if starts[r - 1] and r > 1:
-            better = above - SKIP > skip
-            skip, skip_row = np.where(better, above - SKIP, skip), np.where(better, r - 1, skip_row)
-            jump = skip > above
-            above, rows = np.where(jump, skip, above), np.where(jump, skip_row, rows)
+            better = row - SKIP > skip
+            skip, skip_row = np.where(better, row - SKIP, skip), np.where(better, r - 1, skip_row)
+            jump = np.flatnonzero(skip > row)
+            if len(jump):
+                above = np.maximum(row, skip)
+                jumps[r] = (jump.astype(np.int32), skip_row[jump].astype(np.int32))
+        same = item == text[r - 1]
+        diagonal = above[:-1] + np.where(same, 1.0, -MISMATCH)
         step = np.maximum(above - GAP, 0)
-        diagonal = above[:-1] + np.where(item == text[r - 1], 1.0, -MISMATCH)
         step[1:] = np.maximum(step[1:], diagonal)
-        table[r] = np.maximum.accumulate(step + ramp) - ramp
-        came[r] = rows
-    r, j = np.unravel_index(int(table.argmax()), table.shape)
+        row = np.maximum.accumulate(step + ramp) - ramp
+        kind = np.where(row[1:] == diagonal, np.where(same, 1, 2), np.where(row[1:] == row[:-1] - GAP, 4, 3))
+        came[r, 1:] = np.where(row[1:] > 0, kind, 0)
+        came[r, 0] = 3 if row[0] > 0 else 0
+        top = int(row.argmax())
+        if row[top] > best:
+            best, best_at = row[top], (r, top)
+
+    def before(r: int, j: int) -> int:
+        if r in jumps:
+            places, rows = jumps[r]
+            at = bisect_left(places, j)
+            if at < len(places) and places[at] == j:
+                return int(rows[at])
+        return r - 1
+
+    r, j = best_at
     steps = []
-    while r > 0 and table[r, j] > 1e-9:
-        value, up = table[r, j], came[r]
-        prior = table[up[j - 1], j - 1] - (SKIP if up[j - 1] != r - 1 else 0) if j else -1e9
-        same = j > 0 and item[j - 1] == text[r - 1]
-        if j and abs(value - (prior + (1.0 if same else -MISMATCH))) < 1e-6:
-            steps.append((0 if same else 1, int(j) - 1))
-            r, j = up[j - 1], j - 1
-        elif j and abs(value - (table[r, j - 1] - GAP)) < 1e-6:
-            steps.append((3, int(j) - 1))
+    while r > 0 and came[r, j]:
+        kind = int(came[r, j]) - 1
+        if kind <= 1:
+            steps.append((kind, j - 1))
+            r, j = before(r, j - 1), j - 1
+        elif kind == 3:
+            steps.append((3, j - 1))
             j -= 1
         else:
-            steps.append((2, int(j)))
-            r = up[j]
+            steps.append((2, j))
+            r = before(r, j)
     return steps[::-1]
 
 
@@ -150,77 +191,82 @@ def chance(n: int, edits: int, rare: int, changed: int) -> float:
 
 def covered(steps: list[tuple[int, int]], rare: np.ndarray, max_edits: float = MAX_EDITS) -> int:
     """Item words in the longest stretch of an alignment whose edits are at most that share of its words, and whose changed rare words
-    are no more than the allowed edits explain."""
+    are no more than the allowed edits explain. All stretches are looked at, those from some hundred places at a time."""
     if not steps:
         return 0
     kind, place = np.array([k for k, _ in steps]), np.array([j for _, j in steps])
     of_item = kind != 2
     is_rare = of_item & rare[np.minimum(place, len(rare) - 1)]
-    run = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[None, :] - c[:, None]
-    length, names, changed = run(of_item), run(is_rare), run(is_rare & (kind > 0))
-    good = (run(kind > 0) <= max_edits * length + 1e-9) & (length > 0)
-    doubtful = good & (3 * changed > names)
-    best = int(np.where(good & ~doubtful, length, 0).max())
-    doubtful &= (length > best) & (changed < names)
-    if doubtful.any():
-        cases = np.unique(np.stack([x[doubtful] for x in (length, (length * max_edits + 1e-9).astype(int), names, changed)], axis=1), axis=0)
-        best = next((c[0] for c in cases[::-1].tolist() if c[3] == 1 or chance(*c) >= LIKE_CHANCE), best)
+    sums = [np.concatenate([[0], np.cumsum(x)]) for x in (of_item, kind > 0, is_rare, is_rare & (kind > 0))]
+    best, doubts = 0, []
+    at_once = max(1, 500_000 // len(sums[0]))
+    for a in range(0, len(sums[0]), at_once):
+        length, edits, names, changed = (s[None, :] - s[a : a + at_once, None] for s in sums)
+        good = (edits <= max_edits * length + 1e-9) & (length > 0)
+        doubtful = good & (3 * changed > names)
+        best = max(best, int(np.where(good & ~doubtful, length, 0).max()))
+        doubtful &= (length > best) & (changed < names)
+        if doubtful.any():
+            doubts.append(np.unique(np.stack([x[doubtful] for x in (length, (length * max_edits + 1e-9).astype(int), names, changed)], axis=1), axis=0))
+    if doubts:
+        cases = np.unique(np.concatenate(doubts), axis=0)[::-1].tolist()
+        best = next((c[0] for c in cases if c[0] > best and (c[3] == 1 or chance(*c) >= LIKE_CHANCE)), best)
     return best
 
 
-def leak(items: Items, k: int, grams: set, lines: list[list[str]]) -> float:
-    """Share of item ``k``'s words that the text holds as one passage."""
-    ws = [w for line in lines for w in line]
-    starts = np.zeros(len(ws), bool)
-    at = 0
-    for line in lines:
-        if line:
-            starts[at] = True
-        at += len(line)
-    item, code = items.coded[k], items.codes[k]
+def leak(items: Items, k: int, codes: np.ndarray, starts: np.ndarray) -> float:
+    """Share of item ``k``'s words that a text of these word codes holds as one passage; ``starts``: whether a word begins a line."""
+    item = items.coded[k]
     n = len(item)
     if not n:
         return 0.0
-    if grams:
-        hits = [i for i, g in enumerate(zip(*(ws[x:] for x in range(GRAM)))) if g in grams]
-    else:
-        hits = [i for i, w in enumerate(ws) if w in code]
+    size = items.size[k]
+    hits = np.flatnonzero(np.isin(_hashes(codes, size), _hashes(item, size)) & (codes[: len(codes) - size + 1] >= 0)) if len(codes) >= size else np.zeros(0, int)
+    if not len(hits):
+        hits = np.flatnonzero(np.isin(codes, item))
     best, reach = 0, 3 * n + 40
-    i = 0
-    while i < len(hits):  # hits far from each other are aligned on their own
-        j = i
-        while j + 1 < len(hits) and hits[j + 1] - hits[j] <= reach:
-            j += 1
-        low, high = max(0, hits[i] - n - 5), min(len(ws), hits[j] + GRAM + n + 5)
-        # in a very long run of hits the table stays bounded: windows overlap by more than a passage can span
-        step = high - low if high - low <= 22 * reach else 2 * reach
+    # hits far from each other are aligned on their own
+    for near in np.split(hits, np.flatnonzero(np.diff(hits) > reach) + 1) if len(hits) else []:
+        low, high = max(0, int(near[0]) - n - 5), min(len(codes), int(near[-1]) + GRAM + n + 5)
+        # in a very long run of hits the window stays bounded: windows overlap by more than a passage can span
+        step = high - low if (high - low) * n <= max(CELLS, 4 * reach * n) else 2 * reach
         for a in range(low, high, step):
             b = min(high, a + step + 2 * reach)
-            if grams and not items.holds(k, set(ws[a:b])):
-                continue
-            text = np.array([code.get(w, -1) for w in ws[a:b]], np.int64)
-            best = max(best, covered(align(item, text, starts[a:b]), items.rare[k]))
-        i = j + 1
+            if items.holds(k, codes[a:b]):
+                best = max(best, covered(align(item, codes[a:b], starts[a:b]), items.rare[k]))
     return best / n
 
 
+def line_starts(text: str) -> np.ndarray:
+    """Whether each word of a text is the first of its line."""
+    out = [np.arange(n) == 0 for n in (len(_WORD.findall(line)) for line in text.lower().split("\n"))]
+    return np.concatenate(out)
+
+
 _RESULT = "doc_id long, item_id long, cover double"
 
 
-def _match(blocks: list[Items], min_cover: float):
+def _match(items: Items, min_cover: float):
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                if not text:
+            docs, texts = frame["doc_id"].tolist(), frame["text"].tolist()
+            split = [words(t) for t in texts]
+            ends = np.cumsum([len(ws) for ws in split], dtype=np.int64)
+            starts = ends - [len(ws) for ws in split]
+            codes = items.codes([w for ws in split for w in ws])
+            # texts without words share their place with the next one and are passed over
+            some = np.flatnonzero(ends > starts)
+            seen: tuple[int, np.ndarray | None] = (-1, None)
+            for i, k in sorted((int(some[i]), k) for i, k in items.pairs(codes, starts[some])):
+                own = codes[starts[i] : ends[i]]
+                if not items.holds(k, own):
                     continue
-                ws, lines = words(text), None
-                for items in blocks:
-                    for k, grams in items.candidates(ws).items():
-                        lines = lines or [words(line) for line in text.split("\n")]
-                        cover = leak(items, k, grams, lines)
-                        if cover >= min_cover - 1 / len(items.words[k]) - 1e-9:
-                            out.append((doc, items.ids[k], cover))
+                if seen[0] != i:
+                    seen = (i, line_starts(texts[i]))
+                cover = leak(items, k, own, seen[1])
+                if cover >= min_cover - items.slack[k] / len(items.coded[k]) - 1e-9:
+                    out.append((docs[i], items.ids[k], cover))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cover"])
 
     return batches
@@ -229,8 +275,9 @@ def _match(blocks: list[Items], min_cover: float):
 def leaks(documents: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     """``(doc_id, item_id, cover)``: documents that hold a passage of at least ``min_cover`` of an item's words.
 
-    Items are read in blocks of ``BLOCK_WORDS`` words, ordered by id, and words counted over all of them; null and empty items and texts and rows without ids give no pairs, repeated rows
-    give repeated pairs, and columns other than doc_id, text, item_id and text of the items are not read.
+    Items are read in the order of their ids and words counted over all of them, whatever the number of passes over the documents (see above); null and
+    empty items and texts and rows without ids give no pairs, repeated rows give repeated pairs, and columns other than doc_id, text, item_id and text of the
+    items are not read. An item of fewer than 15 words allows no edit at the end of a passage.
     """
     sized = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     spark = documents.sparkSession
@@ -245,7 +292,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COV
     if block:
         blocks.append(block)
     texts = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"))
-    parts = [texts.mapInPandas(_match([Items(b, min_cover, df)], min_cover), _RESULT) for b in blocks]
+    parts = [texts.mapInPandas(_match(Items(b, min_cover, df), min_cover), _RESULT) for b in blocks]
     if not parts:
         return spark.createDataFrame([], _RESULT)
     out = parts[0]

@@ -366,15 +366,20 @@ def test_leaks_against_truth(spark):
     truth.add((902, 3))
     frame, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, cover int")
     got = {(x["doc_id"], x["item_id"]) for x in leaks.leaks(frame, bench).collect()}
-    assert got - {(d, 92) for d, _ in got} == truth
+    assert got == truth
     assert leaks.leaks(frame.where("1 = 0"), bench).count() == 0 and leaks.leaks(frame, bench.where("1 = 0")).count() == 0
 
 
+def _cover(items, k, lines):
+    text = "\n".join(" ".join(line) for line in lines)
+    return leaks.leak(items, k, items.codes(leaks.words(text)), leaks.line_starts(text))
+
+
 def test_alignment_of_like_wording():
     items = leaks.Items([(1, "the founder of Ab sold 12 maps to Cd and kept 55 for the lamp"), (2, "the founder of Ef sold 90 cups to Gh and kept 31 for the page"), (3, "the founder of Xy sold 17 pens to Zz and kept 44 for the door")])
     text = "the founder of Qq sold 71 hats to Rr and kept 68 for the tree".lower().split()
-    assert leaks.leak(items, 0, set(), [text]) < 0.4
-    assert leaks.leak(items, 0, set(), [items.words[0]]) == 1.0
+    assert _cover(items, 0, [text]) < 0.4
+    assert _cover(items, 0, ["the founder of ab sold 12 maps to cd and kept 55 for the lamp".split()]) == 1.0
 
 
 @pytest.mark.parametrize("names, changed, cover", [((4, 11), (4,), 0.4), ((3, 9), (9,), 0.5), ((3, 8, 13, 17), (8, 13), 0.6), ((2, 6, 10, 14, 18), (6, 14), 0.6)])
@@ -385,7 +390,7 @@ def test_changed_names_within_the_edits_are_a_leak(names, changed, cover):
     items = leaks.Items([(1, " ".join(item)), *((i, " ".join(common)) for i in (2, 3, 4))])
     part = [f"other{i}" if i in changed else w for i, w in enumerate(item[: int(40 * cover)])]
     ws = ["foreign", *part, "line"]
-    assert leaks.leak(items, 0, items.candidates(ws).get(0, set()), [ws]) >= cover - 1e-9
+    assert _cover(items, 0, [ws]) >= cover - 1e-9
 
 
 def test_all_names_changed_is_like_wording():
@@ -402,14 +407,39 @@ def test_passage_with_few_seeds_is_aligned():
     part = ["changed" if i % 5 == 4 and i < 20 else w for i, w in enumerate(item[:24])]
     lines = [part[:7], ["foreign"] * 6, part[7:12], ["foreign"] * 6, part[12:17], ["foreign"] * 6, part[17:]]
     found = items.candidates([w for line in lines for w in line])
-    assert 0 in found and leaks.leak(items, 0, found[0], lines) >= 0.4 - 1 / 60
+    assert 0 in found and _cover(items, 0, lines) >= 0.4 - 1 / 60
 
 
 def test_wording_of_three_items_is_a_leak_of_each():
     shared = [f"w{i}" for i in range(20)]
     items = leaks.Items([(k, " ".join(shared + [f"own{k}x{i}" for i in range(20)])) for k in range(3)])
     found = items.candidates(shared)
-    assert [leaks.leak(items, k, found[k], [shared]) for k in sorted(found)] == [0.5, 0.5, 0.5]
+    assert [_cover(items, k, [shared]) for k in found] == [0.5, 0.5, 0.5]
+
+
+@pytest.mark.parametrize("n", [3, 10, 100])
+def test_wording_of_many_items_is_found(n):
+    shared = [f"w{i}" for i in range(26)]
+    items = leaks.Items([(k, " ".join(shared + [f"own{k}x{i}" for i in range(25)])) for k in range(n)])
+    assert items.candidates(["foreign", *shared, "end"]) == list(range(n)) and items.candidates(["foreign", *shared[:5], "end"]) == []
+
+
+def test_tiny_items_need_adjoining_words():
+    items = leaks.Items([(0, "the quick brown fox"), (1, "the"), (2, "the end"), (3, "one of the seven words here now")])
+    assert items.candidates("the dog and the cat".split()) == [1] and items.candidates("quick brown bread".split()) == [0]
+    assert items.candidates("in the end".split()) == [1, 2] and items.candidates("seven words here".split()) == [3]
+
+
+def test_long_items_are_aligned_in_bounded_memory():
+    import tracemalloc
+
+    item = [f"w{i}" for i in range(5000)]
+    items = leaks.Items([(0, " ".join(item))])
+    text = ["x"] * 3000 + ["changed" if i % 8 == 0 else w for i, w in enumerate(item[1000:3200])] + ["x"] * 3000
+    tracemalloc.start()
+    cover = _cover(items, 0, [text[a : a + 9] for a in range(0, len(text), 9)])
+    assert tracemalloc.get_traced_memory()[1] < 500e6 and cover >= 0.4
+    tracemalloc.stop()
 
 
 def test_blocks_do_not_change_what_is_rare(spark, monkeypatch):
