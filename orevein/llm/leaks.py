@@ -11,7 +11,7 @@ any word alike, as many as are allowed, would strike so many of them with a chan
 Scale: documents are read once and nothing is shuffled. The items are the stated set: words become numbers and seeds sorted arrays of hashes, some
 30 bytes a word, so a pass over the documents takes ``BLOCK_WORDS`` words of items, and only a set beyond that takes further passes. Words are counted
 over all items before, so a block's border changes nothing. The documents of a batch are looked up together. There is no limit on documents per item, items
-per document or on the length of a text; an alignment keeps a byte for each pair of an item's word and a word of the window it is aligned with.
+per document or on the length of a text; an alignment keeps two bytes for each pair of an item's word and a word of the window it is aligned with.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import groupby, repeat
 from math import ceil, comb
 
 import numpy as np
@@ -42,7 +42,7 @@ MIN_COVER = 0.4
 MAX_EDITS = 1 / 6
 #: Chance of so many changed rare words below which the edits picked them.
 LIKE_CHANCE = 0.025
-MISMATCH, GAP, SKIP = 1.0, 1.0, 2.0
+MISMATCH, GAP, SKIP = 1, 1, 2
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -76,7 +76,7 @@ class Items:
         self.rare = [rare[c] for c in self.coded]
         # an edit at the very end of a passage leaves the alignment a word short; too few words allow no edit
         self.slack = [1 if min_cover * len(ws) * MAX_EDITS >= 1 else 0 for ws in texts]
-        self.least = [max(1, ceil(min_cover * len(ws) - k - 1e-6)) for ws, k in zip(texts, self.slack, strict=True)]
+        self.least = np.array([max(1, ceil(min_cover * len(ws) - k - 1e-6)) for ws, k in zip(texts, self.slack, strict=True)])
         self.size = [GRAM if len(ws) >= 2 * GRAM + 2 else min(2, len(ws)) for ws in texts]
         self.seeds = {}
         for size in sorted(set(self.size) - {0}):
@@ -89,6 +89,8 @@ class Items:
             seeds, owners = seeds[fresh], owners[fresh]
             self.seeds[size] = (seeds, owners)
         self.present = np.zeros(len(self.code) + 1, bool)
+        self.flat, self.lengths = np.concatenate([*self.coded, np.zeros(0, np.int32)]), np.array([len(c) for c in self.coded], np.int64)
+        self.offset = np.cumsum(self.lengths) - self.lengths
 
     def codes(self, ws: list[str]) -> np.ndarray:
         return np.fromiter(map(self.code.get, ws, repeat(-1)), np.int32, len(ws))
@@ -114,72 +116,93 @@ class Items:
     def candidates(self, ws: list[str]) -> list[int]:
         """Items whose passages the text may hold."""
         codes = self.codes(ws)
-        return sorted({k for _, k in self.pairs(codes, np.array([0])) if self.holds(k, codes)})
+        return self.possible([k for _, k in self.pairs(codes, np.array([0]))], codes)
 
-    def holds(self, k: int, codes: np.ndarray) -> bool:
-        """Whether some stretch of item ``k``, as long as asked for, lacks no more words than may be changed."""
+    def possible(self, items: list[int], codes: np.ndarray) -> list[int]:
+        """Those of ``items`` some stretch of which, as long as asked for, lacks no more words of the text than may be changed."""
         self.present[codes] = True
         self.present[-1] = False  # of words in no item
-        sums = np.concatenate([[0.0], np.cumsum(MAX_EDITS - ~self.present[self.coded[k]])])
+        out, at_once = [], max(1, 200_000 // max(1, int(self.lengths[items].max(initial=0))))
+        for a in range(0, len(items), at_once):
+            some = np.array(items[a : a + at_once])
+            n, least = self.lengths[some], self.least[some]
+            place = np.arange(n.max(initial=0))
+            there = self.present[self.flat[np.minimum(self.offset[some][:, None] + place, len(self.flat) - 1)]] if len(self.flat) else np.zeros((len(some), 0), bool)
+            sums = np.zeros((len(some), len(place) + 1))
+            np.cumsum(np.where((place < n[:, None]) & there, MAX_EDITS, MAX_EDITS - 1), axis=1, out=sums[:, 1:])
+            low = np.minimum.accumulate(sums, axis=1)
+            begin = np.arange(len(place) + 1) - least[:, None]
+            good = ((begin >= 0) & (sums >= np.take_along_axis(low, np.maximum(begin, 0), axis=1) - 1e-6)).any(axis=1)
+            out += some[good].tolist()
         self.present[codes] = False
-        low, least = np.minimum.accumulate(sums), self.least[k]
-        return len(sums) > least and bool((sums[least:] >= low[: len(sums) - least] - 1e-6).any())
+        return out
 
 
 def align(item: np.ndarray, text: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
     """Smith-Waterman of item and text word codes. ``starts``: whether a text word begins a line.
 
-    The steps of the best alignment in order, as (kind, place in the item): 0 match, 1 changed, 2 added in the text, 3 dropped. Only the last row of
-    scores is kept, and of each cell the step that led there, in a byte; where a line end was jumped from, its row.
+    The steps of the best alignment in order, as (kind, place in the item): 0 match, 1 changed, 2 added in the text, 3 dropped. Scores are whole numbers
+    and kept with the cost of dropping all item words before added, so a row is a running maximum and takes two bytes a cell.
     """
     n, m = len(item), len(text)
-    came = np.zeros((m + 1, n + 1), np.int8)  # 0 nothing, then the kinds of steps and one
+    ramp = (GAP * np.arange(n + 1)).astype(np.int16 if n < 15_000 else np.int32)
+    table = np.zeros((m + 1, n + 1), ramp.dtype)
+    table[0] = ramp
     jumps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    row, ramp = np.zeros(n + 1), GAP * np.arange(n + 1)
-    skip, skip_row = np.full(n + 1, -1e9), np.zeros(n + 1, np.int32)
-    best, best_at = 0.0, (0, 0)
+    skip, skip_row = np.full(n + 1, -10_000, ramp.dtype), np.zeros(n + 1, np.int32)
+    diagonal = np.zeros(n, ramp.dtype)
+    some_rows = max(1, 1_000_000 // (n + 1))
     for r in range(1, m + 1):
-        above = row
+        if (r - 1) % some_rows == 0:
+            gain = np.where(item[None, :] == text[r - 1 : r - 1 + some_rows, None], 1 + GAP, GAP - MISMATCH).astype(ramp.dtype)
+        above, row = table[r - 1], table[r]
         if starts[r - 1] and r > 1:
-            better = row - SKIP > skip
-            skip, skip_row = np.where(better, row - SKIP, skip), np.where(better, r - 1, skip_row)
-            jump = np.flatnonzero(skip > row)
+            better = above - SKIP > skip
+            np.copyto(skip, above - SKIP, where=better)
+            np.copyto(skip_row, r - 1, where=better)
+            jump = np.flatnonzero(skip > above)
             if len(jump):
-                above = np.maximum(row, skip)
-                jumps[r] = (jump.astype(np.int32), skip_row[jump].astype(np.int32))
-        same = item == text[r - 1]
-        diagonal = above[:-1] + np.where(same, 1.0, -MISMATCH)
-        step = np.maximum(above - GAP, 0)
-        step[1:] = np.maximum(step[1:], diagonal)
-        row = np.maximum.accumulate(step + ramp) - ramp
-        kind = np.where(row[1:] == diagonal, np.where(same, 1, 2), np.where(row[1:] == row[:-1] - GAP, 4, 3))
-        came[r, 1:] = np.where(row[1:] > 0, kind, 0)
-        came[r, 0] = 3 if row[0] > 0 else 0
-        top = int(row.argmax())
-        if row[top] > best:
-            best, best_at = row[top], (r, top)
-
-    def before(r: int, j: int) -> int:
+                above = np.maximum(above, skip)
+                jumps[r] = (jump.astype(np.int32), skip_row[jump])
+        np.subtract(above, GAP, out=row)
+        np.add(above[:-1], gain[(r - 1) % some_rows], out=diagonal)
+        np.maximum(row[1:], diagonal, out=row[1:])
+        np.maximum(row, ramp, out=row)
+        np.maximum.accumulate(row, out=row)
+
+    def score(r: int, j: int) -> int:
+        return int(table[r, j]) - int(ramp[j])
+
+    def above_of(r: int, j: int) -> tuple[int, int]:
+        """The row that cell (r, j) continues from above, and the score there less the jump."""
         if r in jumps:
             places, rows = jumps[r]
             at = bisect_left(places, j)
             if at < len(places) and places[at] == j:
-                return int(rows[at])
-        return r - 1
-
-    r, j = best_at
+                return int(rows[at]), score(int(rows[at]), j) - SKIP
+        return r - 1, score(r - 1, j)
+
+    best, r, j = 0, 0, 0
+    for a in range(0, m + 1, some_rows):
+        part = table[a : a + some_rows] - ramp
+        top = int(part.argmax())
+        if part.flat[top] > best:
+            best, r, j = part.flat[top], a + top // (n + 1), top % (n + 1)
     steps = []
-    while r > 0 and came[r, j]:
-        kind = int(came[r, j]) - 1
-        if kind <= 1:
-            steps.append((kind, j - 1))
-            r, j = before(r, j - 1), j - 1
-        elif kind == 3:
-            steps.append((3, j - 1))
-            j -= 1
-        else:
-            steps.append((2, j))
-            r = before(r, j)
+    while r > 0 and (value := score(r, j)) > 0:
+        if j:
+            row, prior = above_of(r, j - 1)
+            same = item[j - 1] == text[r - 1]
+            if value == prior + (1 if same else -MISMATCH):
+                steps.append((0 if same else 1, j - 1))
+                r, j = row, j - 1
+                continue
+            if value == score(r, j - 1) - GAP:
+                steps.append((3, j - 1))
+                j -= 1
+                continue
+        steps.append((2, j))
+        r = above_of(r, j)[0]
     return steps[::-1]
 
 
@@ -229,10 +252,10 @@ def leak(items: Items, k: int, codes: np.ndarray, starts: np.ndarray) -> float:
     for near in np.split(hits, np.flatnonzero(np.diff(hits) > reach) + 1) if len(hits) else []:
         low, high = max(0, int(near[0]) - n - 5), min(len(codes), int(near[-1]) + GRAM + n + 5)
         # in a very long run of hits the window stays bounded: windows overlap by more than a passage can span
-        step = high - low if (high - low) * n <= max(CELLS, 4 * reach * n) else 2 * reach
+        step = high - low if (high - low) * n <= max(CELLS, 3 * reach * n) else reach
         for a in range(low, high, step):
             b = min(high, a + step + 2 * reach)
-            if items.holds(k, codes[a:b]):
+            if items.possible([k], codes[a:b]):
                 best = max(best, covered(align(item, codes[a:b], starts[a:b]), items.rare[k]))
     return best / n
 
@@ -257,16 +280,14 @@ def _match(items: Items, min_cover: float):
             codes = items.codes([w for ws in split for w in ws])
             # texts without words share their place with the next one and are passed over
             some = np.flatnonzero(ends > starts)
-            seen: tuple[int, np.ndarray | None] = (-1, None)
-            for i, k in sorted((int(some[i]), k) for i, k in items.pairs(codes, starts[some])):
-                own = codes[starts[i] : ends[i]]
-                if not items.holds(k, own):
-                    continue
-                if seen[0] != i:
-                    seen = (i, line_starts(texts[i]))
-                cover = leak(items, k, own, seen[1])
-                if cover >= min_cover - items.slack[k] / len(items.coded[k]) - 1e-9:
-                    out.append((docs[i], items.ids[k], cover))
+            for i, pairs in groupby(sorted(items.pairs(codes, starts[some])), key=lambda pair: pair[0]):
+                i = int(some[i])
+                own, begins = codes[starts[i] : ends[i]], None
+                for k in items.possible([k for _, k in pairs], own):
+                    begins = line_starts(texts[i]) if begins is None else begins
+                    cover = leak(items, k, own, begins)
+                    if cover >= min_cover - items.slack[k] / len(items.coded[k]) - 1e-9:
+                        out.append((docs[i], items.ids[k], cover))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cover"])
 
     return batches
