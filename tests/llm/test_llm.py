@@ -217,6 +217,19 @@ def test_evidence_of_long_sentences(line, kind):
     assert residue.evidence([line]) == kind
 
 
+@pytest.mark.parametrize(
+    "line, kind",
+    [
+        ("Pagina non trovata", "error"), ("Errore 404: la pagina richiesta non esiste", "error"), ("Pagina niet gevonden", "error"), ("Si prega di abilitare JavaScript", "demand"), ("Schakel JavaScript in om verder te gaan", "demand"),
+        ("Ok. Page not found.", "error"), ("Replace this paragraph with a short account of what your company has to offer to its many loyal customers today.", "filler"),
+        ("Testo di esempio", "filler"), ("Em breve, o mercado da cidade abre as portas para todos os que querem comprar pão e queijo de manhã.", None),
+        ("Text here and there is replaced by hand, a template has its own syntax and is printed with a sign around every name.", None), ("La pagina del libro era bianca.", None),
+    ],
+)
+def test_evidence_in_more_languages_and_of_any_length(line, kind):
+    assert residue.evidence([line]) == kind
+
+
 def test_residue_table(spark):
     docs = spark.createDataFrame([(1, "s", "fine\n404 Not Found", "x", "y", 1), (2, None, "{{ x }}", "x", "y", 1), (3, "s", None, None, None, 1), (4, "s", "word " * 200_000 + "\nfine", "x", "y", 1), (None, "s", "{{ x }}", "", "", 1)], DOCS)
     assert {(r["doc_id"], r["kind"]) for r in residue.residue(docs).collect()} == {(1, "error"), (2, "slot")}
