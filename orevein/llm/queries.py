@@ -28,11 +28,11 @@ def p5_restored(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
-    return spam.list_pages(load(spark, base, "documents")).select("doc_id").distinct()
+    return p6_list_pages(spark, base).select("doc_id").distinct()
 
 
 def p6_list_pages(spark: SparkSession, base: str) -> DataFrame:
-    return spam.list_pages(load(spark, base, "documents"))
+    return spam.list_pages(*(load(spark, base, t) for t in ("documents", "pages", "links")))
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:

@@ -143,4 +143,4 @@ def residue(documents: DataFrame) -> DataFrame:
     Nulls, empty texts and texts of furniture only have none; documents without an id are left out; repeated rows are reported as often; texts of any length are read whole.
     A document without a source has no furniture to take out.
     """
-    return residual_lines(documents).where("doc_id is not null").mapInPandas(_batches, "doc_id long, kind string")
+    return residual_lines(documents).drop("keys").where("doc_id is not null").mapInPandas(_batches, "doc_id long, kind string")

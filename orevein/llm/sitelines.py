@@ -146,13 +146,15 @@ def boilerplate_lines(documents: DataFrame, min_documents: int = MIN_DOCUMENTS,
 
 
 def residual_lines(documents: DataFrame, *extra: str, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
-    """``documents`` as ``(doc_id, *extra, lines)``: the text's lines, trimmed, without blank ones and those of high support in the source."""
+    """``documents`` as ``(doc_id, *extra, lines, keys)``: the text's lines, trimmed, without blank ones and those of high support in the source, and the hashes of
+    those lines."""
     hashed = cut(hashed_lines(documents, *extra), "lines")
     nodes = line_nodes(hashed.select("source", "h"), min_documents, min_share)
     kept = cut(nodes.groupBy("source").agg(F.collect_list("line").alias("kept")), "kept")
     none = F.array().cast("array<bigint>")
     left = F.filter(F.arrays_zip("lines", "h"), lambda p: p["h"].isNotNull() & ~F.array_contains(F.coalesce("kept", none), p["h"]))
-    return facts_join(hashed, kept, "source").select("doc_id", *extra, F.transform(left, lambda p: F.trim(F.regexp_replace(p["lines"], SPACE, " "))).alias("lines"))
+    rows = facts_join(hashed, kept, "source").select("doc_id", *extra, left.alias("left"))
+    return rows.select("doc_id", *extra, F.transform("left", lambda p: F.trim(F.regexp_replace(p["lines"], SPACE, " "))).alias("lines"), F.transform("left", lambda p: p["h"]).alias("keys"))
 
 
 def without_boilerplate(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
