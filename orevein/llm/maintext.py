@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import html as _html
+import logging
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -31,10 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalize
+from ..operators.skew import facts_join
 from ..session import cut, spread
 from ..sources.html import CLOSE, INLINE, OPEN, attributes, scan
 from .gbdt import Boosted
 
+log = logging.getLogger(__name__)
+
 #: Pages the trees are trained on; the bound of the sample.
 SAMPLE_PAGES = 1500
 MIN_PAGES, MIN_SHARE = 5, 0.1
@@ -48,7 +52,9 @@ MAIN_TOKENS = frozenset("article post entry content main text story body".split(
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
 _END = re.compile(r"[.!?…][\"'”’»)]*$")
-_NODE = "page_id long, host string, parent array<int>, tag array<int>, kind array<long>, key array<long>, chars array<int>, links array<int>, own array<int>, flags array<int>, lines array<int>, owner array<int>"
+#: Pages of one task, about, where pages are scored: what a task costs hangs on their number, not on the bytes of their arrays.
+PAGES_PER_TASK = 4000
+_NODE = "page_id long, host string, error string, parent array<int>, tag array<int>, kind array<long>, key array<long>, chars array<int>, links array<int>, own array<int>, flags array<int>, lines array<int>, owner array<int>"
 
 
 def hash64(text: str) -> int:
@@ -131,17 +137,20 @@ _EMPTY = {k: [] for k in "parent tag kind key chars links own flags lines owner"
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
-        rows = []
+        rows, errors = [], []
         for page in frame["html"]:
+            error = None
             try:
                 rows.append(parse(page) if page else _EMPTY)
-            except (ValueError, IndexError, RecursionError):
+            except (ValueError, IndexError, RecursionError) as e:
                 rows.append(_EMPTY)
-        yield pd.DataFrame({"page_id": frame["page_id"], "host": frame["host"]} | {k: [r[k] for r in rows] for k in _EMPTY})
+                error = f"{type(e).__name__}: {e}"
+            errors.append(error)
+        yield pd.DataFrame({"page_id": frame["page_id"], "host": frame["host"], "error": errors} | {k: [r[k] for r in rows] for k in _EMPTY})
 
 
 def parsed_pages(pages: DataFrame, documents: DataFrame | None = None) -> DataFrame:
-    """Pages as node arrays; the site is the host of the url. For pages without one it is the source of the document with the page's
+    """Pages as node arrays, with an ``error`` where a page could not be parsed; the site is the host of the url. For pages without one it is the source of the document with the page's
     file path, if documents are given; pages whose site stays unknown count as one."""
     rows = pages.where("page_id is not null").select("page_id", F.nullif(F.regexp_extract(normalize(F.col("url")), "^[a-z]+://([^/?]*)", 1), F.lit("")).alias("host"), "html", *(["file_path"] if documents is not None else []))
     if documents is not None:
@@ -362,10 +371,13 @@ def main_lines(pages: DataFrame, documents: DataFrame | None = None, sample: int
     """
     nodes = cut(parsed_pages(pages, documents), "nodes")
     facts = cut(site_facts(nodes), "facts")
-    rows = nodes.join(facts, "host", "left")
+    n, failed = nodes.agg(F.count(F.lit(1)), F.count("error")).first()
+    if failed:
+        log.warning("%d of %d pages could not be parsed and have no main lines; parsed_pages tells which", failed, n)
+    rows = facts_join(nodes.repartition(max(1, -(-n // PAGES_PER_TASK)), "page_id"), facts, "host")
     chosen = nodes.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
     fields = ["parent", "tag", "kind", "key", "chars", "links", "own", "flags", "kept", "kinds"]
-    model = train(rows.join(F.broadcast(chosen), "page_id", "left_semi").select(*fields).toPandas().itertuples())
+    model = train(nodes.join(facts, "host", "left").join(F.broadcast(chosen), "page_id", "left_semi").select(*fields).toPandas().itertuples())
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -364,6 +364,18 @@ def test_main_lines_on_held_out_pages(spark):
     assert maintext.main_lines(frame.where("1 = 0")).count() == 0
 
 
+def test_pages_that_cannot_be_parsed_are_told(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.example/x", "<p>fine</p>", "f1"), (2, "http://a.example/y", None, "f2")], "page_id long, url string, html string, file_path string")
+    assert {r["page_id"]: r["error"] for r in maintext.parsed_pages(pages).collect()} == {1: None, 2: None}
+
+    def broken(page):
+        raise ValueError("odd page")
+
+    monkeypatch.setattr(maintext, "parse", broken)
+    frames = list(maintext._parse_batches(iter([pd.DataFrame({"page_id": [7], "host": ["h"], "html": ["<p>x</p>"]})])))
+    assert frames[0]["error"].tolist() == ["ValueError: odd page"] and frames[0]["parent"].tolist() == [[]]
+
+
 def test_boosted_trees():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 5))
