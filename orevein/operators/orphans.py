@@ -26,18 +26,57 @@ def month_start(index: Column) -> Column:
     return F.when(index != NO_PERIOD, F.make_date(F.floor(index / 12).cast("int"), (index % 12 + 1).cast("int"), F.lit(1)))
 
 
+#: Kinds of containers: sorted bits of two bytes each, runs of a first bit and a length of two bytes each, all bits of the range.
+ARRAY, RUNS, BITMAP = 0, 1, 2
+
+
+def compress(bits: bytes) -> bytes:
+    """The smallest container of a range's bitmap, its kind in the first byte."""
+    places = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
+    first = np.flatnonzero(np.diff(places, prepend=-2) != 1)
+    options = [(2 * len(places), ARRAY), (4 * len(first), RUNS), (len(bits), BITMAP)]
+    kind = min(options)[1]
+    if kind == BITMAP:
+        return bytes([BITMAP]) + bits
+    if kind == ARRAY:
+        return bytes([ARRAY]) + places.astype("<u2").tobytes()
+    lengths = np.diff(first, append=len(places))
+    return bytes([RUNS]) + np.stack([places[first], lengths - 1], axis=1).astype("<u2").tobytes()
+
+
+def expand(container: bytes) -> np.ndarray:
+    """A container's range as an array of truth values."""
+    kind, rest = container[0], container[1:]
+    if kind == BITMAP:
+        return np.unpackbits(np.frombuffer(rest, np.uint8), bitorder="little").view(bool)
+    out = np.zeros(RANGE, bool)
+    values = np.frombuffer(rest, "<u2").astype(np.int64)
+    if kind == ARRAY:
+        out[values] = True
+        return out
+    edges = np.zeros(RANGE + 1, np.int32)
+    np.add.at(edges, values[::2], 1)
+    np.add.at(edges, values[::2] + values[1::2] + 1, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+@F.pandas_udf("binary")
+def compressed(bits: pd.Series) -> pd.Series:
+    return bits.map(compress)
+
+
 def and_not(rows: pd.DataFrame) -> pd.DataFrame:
     """Codes that are referred to in a period and in no parent bitmap up to it; all rows are of one key range."""
     base = int(rows["bucket"].iloc[0]) * RANGE
-    there = np.zeros(RANGE // 8, np.uint8)
+    there = np.zeros(RANGE, bool)
     codes, periods = [], []
     # parents of a period count from its beginning on, so they come before its references
     for row in rows.sort_values(["period", "is_ref"]).itertuples():
-        bits = np.frombuffer(row.bits, np.uint8)
+        bits = expand(row.bits)
         if not row.is_ref:
             there |= bits
             continue
-        left = np.flatnonzero(np.unpackbits(bits & ~there, bitorder="little"))
+        left = np.flatnonzero(bits & ~there)
         codes.append(left + base)
         periods.append(np.full(len(left), row.period, np.int32))
     none = np.zeros(0, np.int64)
@@ -49,31 +88,32 @@ def orphan_keys(refs: DataFrame, parents: DataFrame) -> DataFrame:
 
     ``refs``: ``(field, key, period)``, ``parents``: ``(field, key, since)``, keys strings, periods integers that grow with time.
 
-    1. Dictionary: one aggregation by key folds every reference and parent of a key into a single row (the periods of the
-       references, the earliest one of a parent), however often it is referred to; its row number is the key's integer. The
-       numbered table is written to the shared folder, as row numbers may not change when a lost executor's work is repeated.
-    2. Bitmaps: one of 32 768 bits per key range and period for references and for parents; the numbers are dense, ranges without
-       a bit are not stored and the zero runs of the others vanish in the compressed shuffle.
-    3. Reference AND-NOT parent: a task holds the bitmaps of one key range (4 KB for each period and side), walks through the
-       periods and takes the parents seen so far out of the references.
-    4. The surviving bits are joined with the dictionary.
+    1. Dictionary: the keys of both sides get integers, their row numbers. It holds nothing else, and is written to the shared folder, as
+       row numbers may not change when a lost executor's work is repeated.
+    2. Encoding: each side is folded by key on the map side first (the periods of its references, the earliest one of its parents), however
+       often the key stands there, and then joined with the dictionary, each on its own.
+    3. Bitmaps: one of 32 768 bits per key range and period for references and for parents, compressed to the smallest of three kinds of containers:
+       sorted bits, runs or all bits. Ranges without a bit are not stored.
+    4. Reference AND-NOT parent: a task holds the bitmaps of one key range, walks through the periods and takes the parents seen so far out
+       of the references.
+    5. The surviving bits are decoded by the dictionary.
 
     Null keys refer to nothing and null ``since`` is no parent. Empty inputs give no rows.
     """
-    none = F.lit(None).cast("int")
-    both = refs.select("field", "key", "period", none.alias("since")).unionByName(parents.where("since is not null").select("field", "key", none.alias("period"), "since"))
-    folded = both.where("key is not null").groupBy("field", "key").agg(F.collect_set("period").alias("periods"), F.min("since").alias("since"))
-    coded = cut(folded.withColumn("code", F.monotonically_increasing_id()), "dictionary")
-    bits = [F.shiftright("code", 15).alias("bucket"), F.col("code").bitwiseAND(RANGE - 1).alias("bit")]
+    refs = refs.select("field", "key", "period").where("key is not null")
+    parents = parents.select("field", "key", "since").where("key is not null and since is not null")
+    keys = refs.select("field", "key").unionByName(parents.select("field", "key")).distinct()
+    coded = cut(keys.withColumn("code", F.monotonically_increasing_id()), "dictionary")
+    referred = refs.groupBy("field", "key").agg(F.collect_set("period").alias("periods")).join(coded, ["field", "key"]).select("code", F.explode("periods").alias("period"))
+    there = parents.groupBy("field", "key").agg(F.min("since").alias("period")).join(coded, ["field", "key"]).select("code", "period")
 
     def bitmaps(rows: DataFrame, is_ref: bool) -> DataFrame:
-        return rows.groupBy("bucket", "period").agg(F.bitmap_construct_agg("bit").alias("bits")).withColumn("is_ref", F.lit(is_ref))
+        bits = rows.select(F.shiftright("code", 15).alias("bucket"), F.col("code").bitwiseAND(RANGE - 1).alias("bit"), "period")
+        made = bits.groupBy("bucket", "period").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        return made.select("bucket", "period", compressed("bits").alias("bits"), F.lit(is_ref).alias("is_ref"))
 
-    maps = bitmaps(coded.select(*bits, F.explode("periods").alias("period")), True).unionByName(
-        bitmaps(coded.where("since is not null").select(*bits, F.col("since").alias("period")), False)
-    )
-    left = maps.groupBy("bucket").applyInPandas(and_not, _SURVIVORS)
-    return left.join(coded.select("code", "field", "key"), "code").select("field", "key", "period")
+    left = bitmaps(referred, True).unionByName(bitmaps(there, False)).groupBy("bucket").applyInPandas(and_not, _SURVIVORS)
+    return left.join(coded, "code").select("field", "key", "period")
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:

@@ -276,6 +276,23 @@ def test_keyed_stats(spark):
     assert keyed_stats(frame.where("1 = 0"), "k").count() == 0 and heavy_keys(frame.where("1 = 0"), "k").count() == 0
 
 
+def test_containers():
+    import random
+
+    import numpy as np
+
+    from orevein.operators import orphans
+
+    random.seed(2)
+    for places in ([], [0], [orphans.RANGE - 1], range(orphans.RANGE), range(100, 9000), [*range(5), 77, *range(20000, 20003)], random.sample(range(orphans.RANGE), 900), random.sample(range(orphans.RANGE), 15000)):
+        bits = np.zeros(orphans.RANGE, bool)
+        bits[list(places)] = True
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        small = orphans.compress(packed)
+        assert (orphans.expand(small) == bits).all() and len(small) <= len(packed) + 1
+    assert {orphans.compress(np.packbits(np.isin(np.arange(orphans.RANGE), p), bitorder="little").tobytes())[0] for p in ([3, 9], range(5000), range(0, orphans.RANGE, 2))} == {0, 1, 2}
+
+
 def test_orphans_against_brute_force(spark):
     import random
 
