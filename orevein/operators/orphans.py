@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
 
@@ -60,7 +61,7 @@ def expand(container: bytes) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def compressed(bits: pd.Series) -> pd.Series:
     return bits.map(compress)
 
