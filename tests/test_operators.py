@@ -308,3 +308,32 @@ def test_orphans_against_brute_force(spark):
     assert sum(x["n_orphans"] for x in report) == len(true)
     assert orphan_keys(r.where("1 = 0"), p).count() == 0
     assert {x["id"] for x in orphan_references(r, p.where("1 = 0")).collect()} == {i for i, x in enumerate(refs) if x[1] is not None}
+
+
+def test_runs_over_stored_tables(spark, data, tmp_path, capsys):
+    import json
+    import shutil
+
+    from orevein.__main__ import main
+
+    out = str(tmp_path / "out")
+    main(["index", "--data", data, "--out", out])
+    read = lambda name, base=out: spark.read.parquet(f"{base}/{name}.parquet")
+    before, after = read("documents", data), read("documents")
+    assert after.count() == before.count() and after.where("index_time is null").count() < before.where("index_time is null").count()
+    fresh = before.where("index_time is null").select("doc_id").join(after.where("index_time is not null"), "doc_id")
+    sizes = {r["document_id"]: r["count"] for r in read("document_words").groupBy("document_id").count().collect()}
+    assert all(sizes[r["doc_id"]] == r["document_size"] for r in fresh.collect())
+    assert read("words").groupBy("word").count().where("count > 1").count() == 0 and read("words").groupBy("word_id").count().where("count > 1").count() == 0
+    assert read("links").count() >= read("links", data).count()
+    main(["page-rank", "--data", data, "--out", str(tmp_path / "ranked")])
+    assert read("documents", str(tmp_path / "ranked")).where("page_rank > 0").count() == before.count()
+    main(["search", "--data", data, "--query", "page search"])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["total_documents"] > 0
+    page = read("pages", data).where("url is not null").first()
+    (tmp_path / "seeds").write_text(f"{page['url']} 0\n")
+    shutil.copytree(data, tmp_path / "new")
+    (tmp_path / "new" / "documents.parquet").unlink()
+    before.where("1 = 0").write.parquet(str(tmp_path / "new" / "documents.parquet"))
+    main(["crawl", "--data", str(tmp_path / "new"), "--out", out, "--seeds", str(tmp_path / "seeds"), "--depth", "1"])
+    assert read("crawled").where("status = 'saved'").count() == read("found").count() >= 1
