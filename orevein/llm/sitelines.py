@@ -64,7 +64,7 @@ def line_nodes(hashed: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share:
 def line_edges(hashed: DataFrame, nodes: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
     """``(source, a, b, n)``: edges of high support between nodes that follow each other with at most blank lines between."""
     kept = nodes.groupBy("source").agg(F.collect_list("line").alias("kept"))
-    # the nodes of all sources are a small table: their least bound is counted, so a broadcast is checked before it is made
+    # nodes are a table, so the size that decides on the broadcast is that of its files
     full = facts_join(hashed.select("doc_id", "source", F.filter("h", lambda x: x.isNotNull()).alias("h")), kept, "source", "inner")
     marked = full.select("source", F.transform("h", lambda x: F.when(F.array_contains("kept", x), x)).alias("m"))
     steps = F.zip_with("m", F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
